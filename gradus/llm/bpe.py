@@ -41,6 +41,8 @@ WORDS = re.compile(
 BLOCK_CHARS = 64_000_000
 #: Distinct words a task holds before it hands them on (some may then come twice).
 HELD_WORDS = 1_000_000
+#: Rows that a task turns into Python objects at a time.
+SLICE = 128
 
 
 def default_tokenizer() -> str:
@@ -97,7 +99,7 @@ def _blocks(batches, block_chars: int):
     from pyspark import TaskContext
 
     block, filled = TaskContext.get().partitionId() << 24, 0
-    for batch in batches:
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         rows = []
         for values in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
             rows.append(values)
