@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, quality, secrets, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_quality": quality.op2_quality,
+    "op6_secrets": secrets.op6_secrets,
     "op8_simhash": simhash.op8_simhash,
+    "op9_token_files": token_files.op9_token_files,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
