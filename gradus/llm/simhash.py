@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import exact, materialize
+from ._common import exact, fresh, materialize
 from .components import connected
 
 THRESHOLD = 2
@@ -73,20 +73,23 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of each row."""
+def fingerprints(docs: DataFrame, with_hash: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of each row; with_hash: a hash of the text too."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    source = docs.select(exact(docs, "doc_id").alias("doc_id"), exact(docs, "text").cast("string").alias("text"))
+    text = exact(docs, "text").cast("string")
+    more = [F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash")] * with_hash
+    source = docs.select(exact(docs, "doc_id").alias("doc_id"), text.alias("text"), *more)
     kind = source.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id").cast(id_type), pa.array(fps)], ["doc_id", "fp"])
+            rest = [batch.column("hash")] if with_hash else []
+            yield pa.record_batch([batch.column("doc_id").cast(id_type), pa.array(fps), *rest], ["doc_id", "fp", *["hash"] * with_hash])
 
-    return source.mapInArrow(run, f"doc_id {kind.simpleString()}, fp bigint")
+    return source.mapInArrow(run, f"doc_id {kind.simpleString()}, fp bigint" + ", hash bigint" * with_hash)
 
 
 @lru_cache(1)
@@ -253,17 +256,42 @@ def links(fps: DataFrame, split: int = SPLIT) -> DataFrame:
     return out
 
 
+def _roots(each: DataFrame, split: int) -> DataFrame:
+    """fp and root (a fingerprint that stands for the component) of distinct fingerprints."""
+    nodes = each.select("fp").distinct()
+    roots = connected(links(nodes, split)).select(F.col("node").alias("fp"), "root")
+    return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row."""
     each = materialize(fingerprints(docs), "fingerprints")
-    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected(links(nodes.select("fp"), split)).select(F.col("node").alias("fp"), "root")
-    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("least")).join(_roots(each, split), "fp")
     named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(named, "root").select("fp", "component_id")
     return each.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep(docs: DataFrame, split: int = SPLIT) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id (null last).
+
+    Of rows that tie in doc_id, the one whose text has the smaller hash; of equal rows, one.
+    """
+    doc_id, text = exact(docs, "doc_id"), exact(docs, "text").cast("string")
+    each = materialize(fingerprints(docs, with_hash=True), "fingerprints")
+    of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("k")
+    kept = each.join(_roots(each, split), "fp").groupBy("root").agg(of).select(F.col("k.doc_id").alias("kept_id"), F.col("k.hash").alias("kept_hash"))
+    names = dict(zip(kept.columns, fresh(docs, *kept.columns), strict=True))
+    kept = kept.withColumnsRenamed(names)
+    same = doc_id.eqNullSafe(F.col(names["kept_id"])) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(names["kept_hash"]))
+    rows = docs.join(kept, same, "left_semi")
+    if each.groupBy("doc_id", "hash").count().where("count > 1").isEmpty():
+        return rows
+    (mark,) = fresh(docs, "simhash_of")
+    marked = rows.withColumn(mark, F.struct(doc_id.alias("i"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h")))
+    return marked.dropDuplicates([mark]).drop(mark)
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     done = components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
