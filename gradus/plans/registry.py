@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("series", "gates")
+MODULES = ("series", "gates", "marts", "texts", "identity", "serving", "models", "sources")
 
 
 def query(sql: str | None = None):
