@@ -24,8 +24,9 @@ def text_schema(columns: list[str], keep_bad: bool = False) -> StructType:
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], keep_bad: bool = True) -> DataFrame:
     """All columns as text; empty stays empty; rows of another arity keep their line in BAD."""
-    reader = spark.read.schema(text_schema(columns, keep_bad)).option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", "\u0000")
-    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).csv(path)
+    reader = spark.read.schema(text_schema(columns, keep_bad)).option("header", True).option("escape", '"').option("multiLine", True)
+    df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).csv(path)
+    return df.na.fill("", columns)  # CSV has no null; an empty field is the empty text
 
 
 def check_header(spark: SparkSession, path: str, columns: list[str]) -> None:
@@ -36,7 +37,7 @@ def check_header(spark: SparkSession, path: str, columns: list[str]) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\u0000").csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def read_or_build(spark: SparkSession, path: str, build) -> DataFrame:
