@@ -286,7 +286,8 @@ def redact(docs: DataFrame, fdr: float = FDR) -> DataFrame:
                 columns[chars_at] = pa.array(lengths, pa.int64()).cast(batch.schema.field(chars_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def replaced(text: str, found: list[tuple[int, int, int]]) -> str:
