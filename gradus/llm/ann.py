@@ -232,7 +232,7 @@ def search(table: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, s
     queries = materialize(queries, "ann-queries")
     asked = queries.select("rep", "vec").dropDuplicates(["rep"])
     radius = _radius(entries, asked, places, k, sample, target)
-    lists = places.groupBy("rep").agg(F.collect_list("block").alias("blocks"))
+    lists = places.groupBy("rep").agg(F.collect_set("block").alias("blocks"))
     held = entries.select("rep", "vec").join(lists, "rep").select(F.explode("blocks").alias("block"), F.lit(0).alias("ask"), "rep", "vec")
     reach = F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.sequence(b - radius, b + radius)))))
     asks = asked.join(lists, "rep").select(reach.alias("block"), F.lit(1).alias("ask"), "rep", "vec")
