@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Fewer rows an Arrow batch for the jobs run inside, as texts are long; restored after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -78,3 +91,8 @@ def word_split(text: Column) -> Column:
     return F.when(F.coalesce(F.length(inner), F.lit(0)) > 0, F.split(inner, r"[ \t-\r]+")).otherwise(
         F.array().cast("array<string>")
     )
+
+
+def broadcast_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A broadcast hint for a written table of at most so many narrow rows; else the table as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

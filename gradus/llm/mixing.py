@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import exact, fresh, materialize, word_split
+from ._common import broadcast_small, exact, fresh, materialize, word_split
 
 #: Times a source may be repeated; tokens in a block.
 MAX_REPEAT, BLOCK_TOKENS = 1.5, 1_000_000
@@ -110,7 +110,7 @@ def _running(rows: DataFrame) -> DataFrame:
 
 
 def _with_plan(light: DataFrame, weights: DataFrame) -> DataFrame:
-    return light.join(weights, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
+    return light.join(broadcast_small(weights), F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
 
 
 def schedule(docs: DataFrame, **how) -> DataFrame:
@@ -138,7 +138,7 @@ def select(docs: DataFrame, **how) -> DataFrame:
     limits = materialize(limits, "mix-limits")
     names = dict(zip(limits.columns, fresh(docs, *limits.columns), strict=True))
     (copy,) = fresh(docs, "mix_copy")
-    joined = docs.join(limits.withColumnsRenamed(names), exact(docs, "source").cast("string").eqNullSafe(F.col(names["mix_source"])))
+    joined = docs.join(broadcast_small(limits.withColumnsRenamed(names)), exact(docs, "source").cast("string").eqNullSafe(F.col(names["mix_source"])))
     key = _key(F.col(names["full"]), exact(docs, "doc_id"), F.md5(F.coalesce(exact(docs, "text").cast("string"), F.lit(""))))
     copies = F.col(names["full"]) + F.coalesce((key <= F.col(names["last"])).cast("bigint"), F.lit(0))
     kept = joined.withColumn(copy, copies).where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copy))))

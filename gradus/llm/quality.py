@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import exact, fresh, materialize, word_split
+from ._common import broadcast_small, exact, fresh, materialize, word_split
 
 #: Share of a group's documents that an estimate rests on, concentration steps, smallest group.
 H, STEPS, MIN_GROUP = 0.75, 4, 40
@@ -122,7 +122,7 @@ _M, _L = [f"m_{i}" for i in range(P)], [[f"l_{i}{j}" for j in range(i + 1)] for
 def _with_distance(rows: DataFrame, est: DataFrame) -> DataFrame:
     x = [F.col(f"x_{i}") for i in range(P)]
     d = _distance(x, [F.col(c) for c in _M], [[F.col(c) for c in r] for r in _L])
-    return rows.join(est, "g").withColumn("d", d)
+    return rows.join(broadcast_small(est), "g").withColumn("d", d)
 
 
 def _rounded_log(d: Column) -> Column:
@@ -149,13 +149,13 @@ def estimates(stats: DataFrame, h: float = H, steps: int = STEPS, min_group: int
     groups = materialize(groups, "quality-groups")
     vector = [v.alias(f"x_{i}") for i, v in enumerate(_vector())]
     key = groups.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "g")
-    rows = good.select("lang", "source", *vector).join(key, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")))
+    rows = good.select("lang", "source", *vector).join(broadcast_small(key), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")))
     rows = rows.select("g", *[f"x_{i}" for i in range(P)])
     step = [F.round(F.col(f"x_{i}") * 256) / 256 for i in range(P)]
     medians = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(step[i], F.lit(0.5)).alias(f"m_{i}") for i in range(P)])
     medians = materialize(medians.where(F.col("n") >= min_group), "quality-est")
     gap = [F.round(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")) * 256) / 256 for i in range(P)]
-    mads = rows.join(medians, "g").groupBy("g").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(P)], *[F.pow(1.4826 * F.percentile(gap[i], F.lit(0.5)), 2).alias(f"c_{i}{i}") for i in range(P)])
+    mads = rows.join(broadcast_small(medians), "g").groupBy("g").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(P)], *[F.pow(1.4826 * F.percentile(gap[i], F.lit(0.5)), 2).alias(f"c_{i}{i}") for i in range(P)])
     mads = mads.select("*", *[F.lit(0.0).alias(f"c_{i}{j}") for i in range(P) for j in range(i)])
     est = materialize(_factor(mads, F.lit(1.0)), "quality-est")
     for k in range(steps):
@@ -174,7 +174,8 @@ def estimates(stats: DataFrame, h: float = H, steps: int = STEPS, min_group: int
 def _limits(stats: DataFrame) -> DataFrame:
     """q_lang, q_source and the estimate that judges them (nulls where none does)."""
     groups, est = estimates(stats)
-    return groups.join(est, "g").select(F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), *_M, *[c for r in _L for c in r])
+    limits = groups.join(est, "g").select(F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), *_M, *[c for r in _L for c in r])
+    return broadcast_small(materialize(limits, "quality-limits"))
 
 
 def _verdict(s=F.col, limit=F.col) -> Column:
@@ -206,7 +207,7 @@ def keep(docs: DataFrame) -> DataFrame:
     limits = _limits(_stats(docs))
     names = {c: n for c, n in zip(limits.columns, fresh(docs, *[f"quality_{c}" for c in limits.columns]), strict=True)}
     lang, source = exact(docs, "lang"), exact(docs, "source")
-    joined = docs.join(limits.withColumnsRenamed(names), lang.eqNullSafe(F.col(names["q_lang"])) & source.eqNullSafe(F.col(names["q_source"])), "left")
+    joined = docs.join(broadcast_small(limits.withColumnsRenamed(names)), lang.eqNullSafe(F.col(names["q_lang"])) & source.eqNullSafe(F.col(names["q_source"])), "left")
     kept = joined.where(let(statistics(exact(docs, "text")), lambda s: _verdict(lambda c: s[c], lambda c: F.col(names[c]))))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
