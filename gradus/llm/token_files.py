@@ -11,8 +11,8 @@ its task has succeeded, so lost executors leave no half shard in the manifest. T
 The format is read back by memory mapping where the store is a mounted folder, else by
 ranges of the file.
 
-Each distinct word is encoded by the tokenizers library once in a task (its memory is
-bounded); words are what the tokenizer's own normaliser and splitter never join. Texts with
+The tokenizers library's model encodes a part of a word when a Python worker first meets it
+(its memory is bounded); parts are what the tokenizer's own splitter makes. Texts with
 characters for which that isn't certain go to the library whole.
 
 Defined cases: null text is empty (the end id alone); repeated doc_ids are ordered by text;
@@ -23,7 +23,9 @@ are ignored. Texts are encoded whole, one document in memory at a time.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -31,19 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import exact, materialize, open_fs, shared_dir
+from ._common import exact, materialize, open_fs, shared_dir, small_batches
 from .bpe import load_tokenizer
 
 END = 1
-#: Words a task remembers with their ids; rows it turns into Python objects at a time.
-MEMO, SLICE = 400_000, 128
+#: Parts of words a Python worker remembers with their ids; rows it turns into Python objects
+#: at a time.
+MEMO, SLICE = 400_000, 256
 
 _LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ňŊ-ž"
 _MARKS = r"\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7‐-‧‰-⁞€"
 #: Texts of these characters only are in normal form C, in lower case letter by letter, and
 #: have ASCII white space only.
 _PLAIN = re.compile(rf"[\t-\r \x21-\x7e{_LATIN}{_MARKS}]*+\Z")
-_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LATIN}]+|[0-9]|[^\t-\r {_LATIN}0-9]+")
+_WORDS = re.compile(rf"[{_LATIN}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\t-\r {_LATIN}0-9]+")
 
 
 def default_tokenizer() -> str:
@@ -52,29 +55,44 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str, dtype):
-    """text -> array of ids, as the library encodes it without special tokens."""
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte -> character of the byte-level alphabet.
+_BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+class _Memo(dict):
+    """Part of a word -> bytes of its ids, from the library's model when it is new."""
+
+    def __init__(self, tok, dtype: str):
+        self.tokenize, self.code = tok.model.tokenize, "H" if dtype == "<u2" else "I"
+
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        out = self[part] = self.packed([t.id for t in self.tokenize(part.encode().decode("latin-1").translate(_BYTES))])
+        return out
+
+
+#: Memories by tokenizer file and width; tasks of one Python worker share them.
+_KNOWN: dict[tuple[str, str], _Memo] = {}
+
+
+def encoder(path: str, dtype: str):
+    """text -> bytes of its ids, as the library encodes it without special tokens."""
     tok = load_tokenizer(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    memo: dict[str, bytes] = {}
-
-    def whole(text: str) -> bytes:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, dtype).tobytes()
+    memo = _KNOWN.setdefault((path, dtype), _Memo(tok, dtype))
 
     def encode(text: str) -> bytes:
         if not _PLAIN.match(text) or any(s in text for s in special):
-            return whole(text)
-        words = _WORDS.findall(text.lower())
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({w for w in words if w not in memo})
-        for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, dtype).tobytes()
-        return b"".join(map(memo.__getitem__, words))
+            return memo.packed(tok.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(memo.__getitem__, _WORDS.findall(text.lower())))
 
     return encode
 
@@ -138,7 +156,9 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer_path: str | None
     keyed = source.withColumn("tie", F.xxhash64("text"))
     ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     run = _write(path, folder, _width(path), end, to_arrow_type(kind))
-    rows = materialize(ordered.mapInArrow(run, f"doc_id {kind.simpleString()}, shard bigint, name string, place bigint, n bigint"), "token-index")
+    written = ordered.mapInArrow(run, f"doc_id {kind.simpleString()}, shard bigint, name string, place bigint, n bigint")
+    with small_batches(spark):
+        rows = materialize(written, "token-index")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = rows.where("place = -1").select("shard", "name", F.col("n").alias("n_ids"))
     manifest = shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -176,14 +196,16 @@ def read(folder: str, manifest: DataFrame, dtype: str) -> DataFrame:
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["shard", "place", "start", "n_tokens", "ids_crc32"])
 
     schema = "shard bigint, place bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    return manifest.repartition("shard").mapInArrow(run, schema)
+    shards = max(1, manifest.count())  # as many as there were partitions
+    return manifest.repartition(shards, "shard").mapInArrow(run, schema)
 
 
 def roundtrip(docs: DataFrame, folder: str | None = None, tokenizer_path: str | None = None, end: int = END) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, written and read back."""
     folder, manifest, index = write(docs, folder, tokenizer_path, end)
     back = read(folder, manifest, _width(tokenizer_path or default_tokenizer()))
-    return index.join(back, ["shard", "place"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    # Without the hint, back would count as small as the manifest it comes of.
+    return index.join(back.hint("merge"), ["shard", "place"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
