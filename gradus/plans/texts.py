@@ -12,18 +12,18 @@ FOLD = "replace(strip_accents(lower({0})), 'đ', 'd')"
 HEAD = "substr(text, 1, 200)"
 
 
-def _heads(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("head"))
+def _texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 @query(f"SELECT doc_id, {FOLD.format(HEAD)} AS folded FROM documents")
 def fold_text(spark, sf_dir):
-    return _heads(spark, sf_dir).select("doc_id", fn.fold(F.col("head")).alias("folded"))
+    return _texts(spark, sf_dir).select("doc_id", fn.fold(F.col("text")).alias("folded"))
 
 
 @query(f"SELECT doc_id, nullif(trim(regexp_replace({FOLD.format(HEAD)}, '[^a-z0-9]+', ' ', 'g')), '') AS slug FROM documents")
 def slug_key(spark, sf_dir):
-    return _heads(spark, sf_dir).select("doc_id", fn.slug(F.col("head"), True).alias("slug"))
+    return _texts(spark, sf_dir).select("doc_id", fn.slug(F.col("text"), True).alias("slug"))
 
 
 @query(f"""WITH h AS (SELECT doc_id, {FOLD.format(HEAD)} AS f FROM documents)
@@ -31,14 +31,14 @@ def slug_key(spark, sf_dir):
     trim(regexp_replace(regexp_replace(f, '[^\\x00-\\x7f]+', '', 'g'), '\\s+', ' ', 'g')) AS ascii,
     trim(regexp_replace(regexp_replace(trim(regexp_replace(f, '[^a-z0-9]+', ' ', 'g')), '(^| )(the|of) ', ' ', 'g'), ' +', ' ', 'g')) AS named FROM h""")
 def normaliser_variants(spark, sf_dir):
-    head = F.col("head")
-    named = F.trim(F.regexp_replace(F.regexp_replace(fn.slug(head), "(^| )(the|of) ", " "), " +", " "))
-    return _heads(spark, sf_dir).select("doc_id", fn.slug_keep_runs(head).alias("kept_runs"), fn.slug(head).alias("collapsed"), fn.ascii_only(head).alias("ascii"), named.alias("named"))
+    text = F.col("text")
+    named = F.trim(F.regexp_replace(F.regexp_replace(fn.slug(text), "(^| )(the|of) ", " "), " +", " "))
+    return _texts(spark, sf_dir).select("doc_id", fn.slug_keep_runs(text).alias("kept_runs"), fn.slug(text).alias("collapsed"), fn.ascii_only(text).alias("ascii"), named.alias("named"))
 
 
 @query(f"SELECT doc_id, trim(regexp_replace({HEAD}, '\\s+', ' ', 'g')) AS collapsed FROM documents")
 def nfkc_whitespace(spark, sf_dir):
-    return _heads(spark, sf_dir).select("doc_id", fn.collapse(F.col("head")).alias("collapsed"))
+    return _texts(spark, sf_dir).select("doc_id", fn.collapse(F.col("text")).alias("collapsed"))
 
 
 TAGS = [("contact", "@|\\+1"), ("licence", "(?i)licen[sc]e"), ("number", "[0-9]"), ("shout", "[A-Z]{4,}"), ("marks", "[#*|]")]
