@@ -38,7 +38,9 @@ def normaliser_variants(spark, sf_dir):
 
 @query(f"SELECT doc_id, trim(regexp_replace({HEAD}, '\\s+', ' ', 'g')) AS collapsed FROM documents")
 def nfkc_whitespace(spark, sf_dir):
-    return _texts(spark, sf_dir).select("doc_id", fn.collapse(F.col("text")).alias("collapsed"))
+    from ..functions.unicode import nfkc_collapse
+
+    return _texts(spark, sf_dir).select("doc_id", nfkc_collapse("text").alias("collapsed"))
 
 
 TAGS = [("contact", "@|\\+1"), ("licence", "(?i)licen[sc]e"), ("number", "[0-9]"), ("shout", "[A-Z]{4,}"), ("marks", "[#*|]")]

@@ -42,3 +42,11 @@ def test_normalisers_take_the_whole_text(spark, store):
         assert variants.ascii == (None if t is None else re.sub(r"\s+", " ", plain_fold(t.lower().replace("đ", "")).encode("ascii", "ignore").decode()).strip())
         assert variants.named == (None if t is None else re.sub(" +", " ", re.sub("(^| )(the|of) ", " ", slug)).strip())
         assert got["nfkc_whitespace"][i].collapsed == (None if t is None else re.sub(r"\s+", " ", t).strip())
+
+
+def test_nfkc_normalises(spark, store):
+    texts = ["Ｆｕｌｌ　ｗｉｄｔｈ", "ﬁne ﬂow", "x² ½ ①", "e\u0301te\u0301", "\u00a0 a\u2003\u2028b \x1c", None, "", "plain " * 200 + "ﬁ"]
+    at = store("documents", [*enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.collapsed for r in registry.QUERIES["nfkc_whitespace"](spark, at).collect()}
+    assert got == {i: None if t is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t)).strip() for i, t in enumerate(texts)}
+    assert got[0] == "Full width" and got[1] == "fine flow" and got[3] == "été"
