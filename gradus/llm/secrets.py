@@ -5,12 +5,14 @@ random: runs of key characters whose encoding can be inferred, tested for unifor
 that encoding's alphabet (chi-squared), for runs about the median and for serial
 correlation; Fisher's method combines the three p-values into one, high for random strings.
 
-False discoveries are controlled by length: each document also yields one reference string,
-made of its own ordinary words in the style of an identifier, and tested alike. For each
-encoding and length class, the threshold is the lowest p-value at which the share of
-reference strings that pass, times the number of candidates, is at most FDR times the
-number of candidates that pass. Short classes, where the tests can't tell words from keys,
-thus flag nothing. The histograms cover all documents and have a fixed number of cells.
+False discoveries are controlled by length against reference strings, identifiers made of
+ordinary words and tested alike. Each encoding and length class has KNOWN of them, of its
+candidates' lengths, from a fixed list of words, so that a table of any size can flag
+something; each document adds one of its own words. For each class, the threshold is the lowest p-value at which the
+share of reference strings that pass, times the number of candidates, is at most FDR times
+the number of candidates that pass. Short classes, where the tests can't tell words from
+keys, thus flag little or nothing. The histograms cover all documents and have a fixed
+number of cells.
 
 Defined cases: null text is empty and has no spans; repeated rows repeat; an empty table
 gives an empty result; a span of the method that would overlap a base span is left out;
@@ -21,7 +23,10 @@ anchored so that long runs take linear time.
 from __future__ import annotations
 
 import math
+import random
 import re
+from collections import Counter
+from functools import lru_cache
 from zlib import crc32
 
 import pyarrow as pa
@@ -36,6 +41,18 @@ FDR = 0.01
 SHORTEST, LENGTHS = 20, (20, 24, 32, 48, 80)
 #: p-values are told apart by -log10 in steps of 1 / STEPS up to BINS / STEPS.
 STEPS, BINS = 8, 96
+#: Reference strings of each class that don't come from the table, their greatest length, and their words.
+KNOWN, LONGEST = 2000, 128
+WORDS = """the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she
+there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may
+first then do any like my now over such our man me even most made after also did many off before must well back through years much where your way down
+should because long each just state those people too how little good world make very year still see own work men day get here old life both between being
+under three never know same last another while us might great go come since against right came take used himself few house use place during high without
+again home around small however found part school once general upon every does got united left number course war until always away something fact public
+though less put think almost hand enough far took head yet government system set told nothing night end better called find look going point knew next city
+business case group give toward days young let room side social given order early second possible whole rather important several power things political
+name user account service request response config server client index value table record update create delete session manager handler factory version
+build release archive image report backup invoice product customer address payment message event queue worker cluster region bucket""".split()
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
@@ -161,13 +178,10 @@ def candidates(words: list[tuple[int, str]]) -> list[tuple[int, int, str, int, i
     return out
 
 
-def reference(text: str) -> tuple[str, int, int] | None:
-    """The cell of an identifier made of a document's own words: its style, place and length by its hash."""
-    seed = crc32(text.encode("utf-8", "surrogatepass"))
-    names = [*ENCODINGS]
-    encoding, n = names[seed % len(names)], LENGTHS[seed // 8 % len(LENGTHS)] + seed // 64 % 8
-    letters, at, s = _SETS[encoding], seed // 512 % max(1, len(text) - 400), ""
-    for i, word in enumerate(text[at : at + 400].split()):
+def identifier(words, number: str, encoding: str, n: int) -> str | None:
+    """An identifier of n characters made of words, a number after each fourth; None if they don't fill it."""
+    letters, s = _SETS[encoding], ""
+    for i, word in enumerate(words):
         if encoding in ("HEX", "base32", "upper36"):
             word = word.upper()
         elif encoding in ("hex", "lower36"):
@@ -176,13 +190,43 @@ def reference(text: str) -> tuple[str, int, int] | None:
             word = word.capitalize()
         s += "".join(c for c in word if c in letters) + ("-" if encoding == "base64url" and i % 2 else "")
         if i % 4 == 3:
-            s += "".join(c for c in str(seed // 4096 % 89 + 10) if c in letters)
+            s += "".join(c for c in number if c in letters)
         if len(s) >= n:
-            s = s[:n]
-            return cell(encoding, n, battery(s, encoding))
+            return s[:n]
     return None
 
 
+def reference(text: str, doc_id: object = "") -> tuple[str, int, int] | None:
+    """The cell of an identifier made of a document's own words: its style, place and length by the hash of both.
+
+    The id takes part so that copies of one text are dealt over all cells. Words long enough to be keys are left out.
+    """
+    seed = crc32(f"{doc_id} {text}".encode("utf-8", "surrogatepass"))
+    names = [*ENCODINGS]
+    encoding, n = names[seed % len(names)], LENGTHS[seed // 8 % len(LENGTHS)] + seed // 64 % 8
+    at = seed // 512 % max(1, len(text) - 400)
+    own = [w for w in text[at : at + 400].split() if len(w) < SHORTEST]
+    s = identifier(own, str(seed // 4096 % 89 + 10), encoding, n)
+    return s and cell(encoding, n, battery(s, encoding))
+
+
+@lru_cache(256)
+def known(encoding: str, lengths: tuple[tuple[int, int], ...]) -> tuple[int, ...]:
+    """Bins of KNOWN identifiers made of WORDS, of lengths in proportion to (length, count): the same in every run."""
+    rng, bins = random.Random(encoding), [0] * BINS
+    all_counts = sum(c for _, c in lengths)
+    at, n, upto = iter(lengths), 0, 0
+    for i in range(KNOWN):
+        while upto * KNOWN <= i * all_counts:
+            n, count = next(at)
+            upto += count
+        s = None
+        while s is None:
+            s = identifier(rng.choices(WORDS, k=n), str(rng.randrange(10, 10_000)), encoding, n)
+        bins[cell(encoding, n, battery(s, encoding))[2]] += 1
+    return tuple(bins)
+
+
 _CELL = "struct<encoding:string,length:int,bin:int>"
 _SCAN = f"base array<struct<start:bigint,kind:int,end:bigint>>, found array<struct<start:bigint,end:bigint,encoding:string,length:int,bin:int>>, reference {_CELL}"
 
@@ -205,12 +249,12 @@ def scan(docs: DataFrame) -> DataFrame:
         types = _scan_type()
         for batch in batches:
             base, found, refs = [], [], []
-            for text in batch.column("text").to_pylist():
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
                 words = long_words(text)
                 base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in base_spans(text, words)])
                 found.append([dict(zip(("start", "end", "encoding", "length", "bin"), x, strict=True)) for x in candidates(words)])
-                ref = reference(text)
+                ref = reference(text, doc_id)
                 refs.append(ref and dict(zip(("encoding", "length", "bin"), ref, strict=True)))
             columns = [pa.array(x, t) for x, t in zip((base, found, refs), types, strict=True)]
             yield pa.record_batch([batch.column("doc_id").cast(id_type), *columns], ["doc_id", "base", "found", "reference"])
@@ -221,15 +265,22 @@ def scan(docs: DataFrame) -> DataFrame:
 def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], int]:
     """The last bin that passes, by encoding and length class; classes without one are absent.
 
-    The driver gets two histograms of at most len(ENCODINGS) * len(LENGTHS) * BINS cells.
+    The driver gets two histograms of at most len(ENCODINGS) * LONGEST * BINS cells.
     """
-    cells = scanned.select(F.explode("found").alias("c"), F.lit(0).alias("is_ref")).select("c.encoding", "c.length", "c.bin", "is_ref")
-    refs = scanned.where("reference is not null").select("reference.*", F.lit(1).alias("is_ref"))
+    n = F.least(F.col("c.end") - F.col("c.start"), F.lit(LONGEST)).alias("n")
+    cells = scanned.select(F.explode("found").alias("c")).select("c.encoding", "c.length", "c.bin", n, F.lit(0).alias("is_ref"))
+    refs = scanned.where("reference is not null").select("reference.*", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("is_ref"))
     counts: dict = {}
-    for row in cells.unionByName(refs).groupBy("encoding", "length", "bin", "is_ref").count().collect():
-        counts.setdefault((row.encoding, row.length), ([0] * BINS, [0] * BINS))[row.is_ref][row.bin] = row["count"]
+    sizes: dict = {}
+    for row in cells.unionByName(refs).groupBy("encoding", "length", "bin", "n", "is_ref").count().collect():
+        key = row.encoding, row.length
+        counts.setdefault(key, ([0] * BINS, [0] * BINS))[row.is_ref][row.bin] += row["count"]
+        if not row.is_ref:
+            sizes.setdefault(key, Counter())[row.n] += row["count"]
     out = {}
-    for key, (found, ref) in counts.items():
+    for key, lengths in sizes.items():
+        found, ref = counts[key]
+        ref = [a + b for a, b in zip(ref, known(key[0], tuple(sorted(lengths.items()))), strict=True)]
         all_found, all_ref, passed, false = sum(found), sum(ref), 0, 0
         for i in range(BINS):
             passed += found[i]
