@@ -11,8 +11,10 @@ The toxic dictionary sees, of each toxic document, the words whose stem is over-
 in toxic documents; else the words common to all text would fill it.
 
 The labelled sample is bounded: at most MAX_TOXIC and MAX_ORDINARY documents by the order of
-a hash of their id, weighted back to their class's share; SAMPLE_CHARS bounds their text.
-Scoring covers every whole text. Rows whose crc32(doc_id as text) mod 5 is 0 are never
+a hash of their id, weighted back to their class's share. In that order, a text that would
+take the sample past SAMPLE_CHARS is left out; the others are learnt from whole.
+Stems have 4 to 12 letters; shorter words are stems as they are. Scoring covers every whole
+text. Rows whose crc32(doc_id as text) mod 5 is 0 are never
 learned from.
 
 Defined cases: null and empty texts have no windows and get the score of that; documents
@@ -59,8 +61,9 @@ def words(text: str | None) -> list[bytes]:
 
 
 def stems(word: bytes) -> list[str]:
+    """The first STEMS letters of a word; a shorter word is its own stem."""
     bare = word.decode("utf-8", "replace").strip(_EDGE)
-    return [bare[:k] for k in range(STEMS[0], min(len(bare), STEMS[1]) + 1)]
+    return [bare[:k] for k in range(STEMS[0], min(len(bare), STEMS[1]) + 1)] or [bare] * bool(bare)
 
 
 def telling(texts: list[str | None], toxic: list[int]) -> set[str]:
@@ -130,7 +133,7 @@ def train(texts: list[str | None], toxic: list[int], weights: tuple[float, float
             told = [max(s, key=len) for s in (stem.intersection(stems(w)) for w in found) if s] if stem else []
             sample = " ".join(["", *told, ""]).encode() if told else b""
         else:
-            sample = b" " + b" ".join(found[:100]) + b" "
+            sample = b" " + b" ".join(found) + b" "
         if len(sample) >= 8:
             (bad if label else good).append(sample)
 
@@ -174,13 +177,13 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list, list[int], tuple[f
     picked = [known.where(F.col("toxic") == c).orderBy(*order).limit(most) for c, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY))]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # at most MAX_TOXIC + MAX_ORDINARY ids
     texts = docs.select(exact(docs, "doc_id").alias("id"), exact(docs, "text").cast("string").alias("text"))
-    rows = texts.join(picked, "id").select("id", "toxic", "text", F.length("text").alias("n")).orderBy("n", *order).limit(MAX_TOXIC + MAX_ORDINARY)
+    rows = texts.join(picked, "id").select("id", "toxic", "text").orderBy(*order, "text").limit(MAX_TOXIC + MAX_ORDINARY)
     out, chars = [], 0
     for r in rows.toLocalIterator():
-        chars += r.n or 0
-        if chars > SAMPLE_CHARS:
-            break
-        out.append((r.id, r.text, r.toxic))
+        n = len(r.text or "")
+        if chars + n <= SAMPLE_CHARS:
+            chars += n
+            out.append((r.id, r.text, r.toxic))
     out.sort(key=lambda r: (str(r[0]), r[1] or ""))
     got = Counter(r[2] for r in out)
     weights = tuple(sizes.get(c, 0) / max(1, got[c]) / max(1, sum(sizes.values())) * max(1, len(out)) for c in (0, 1))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from gradus.llm import secrets
+from gradus.llm import secrets, toxicity
 
 
 def test_random_keys_are_found_in_small_tables(spark):
@@ -23,3 +23,23 @@ def test_random_keys_are_found_in_small_tables(spark):
     assert sum(bool(copied[i]) for i in range(320) if i % 32 < 30) >= 270
     text = secrets.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sum("[SECRET:random]" in r.text for r in text) >= 27
+
+
+def test_toxicity_learns_from_whole_texts_and_short_words():
+    rng = np.random.default_rng(3)
+    opening = " ".join("".join(rng.choice(list("aeioustrnl"), 6)) for _ in range(120))
+    body = ["quixotry", "flumptious", "vexwander"]
+    texts = [f"{opening} {' '.join(rng.choice(body, 30))}" for _ in range(60)] + [f"{opening} {' '.join(rng.choice(body, 30))} zog zog" for _ in range(20)]
+    model = toxicity.train(texts, [0] * 60 + [1] * 20)
+    assert all(w.encode() in model.ordinary for w in body)
+    assert toxicity.stems(b"zog!") == ["zog"] and toxicity.stems(b"!") == []
+    assert "zog" in toxicity.telling(texts, [0] * 60 + [1] * 20)
+
+
+def test_toxicity_sample_ignores_length(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 20_000)
+    rows = [(i, ("x " * 500 if i % 11 == 0 else "y " * 50)) for i in range(275)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 11 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    texts, toxic, _ = toxicity.sample(docs, labels)
+    assert 5 <= sum(toxic) < 20 and sum(map(len, texts)) <= 20_000
