@@ -201,14 +201,19 @@ def feature_store_join_fallback(spark, sf_dir):
   SELECT asked, coalesce(e.kind, (SELECT min_by(c.kind, c.ordinal) FROM cat c WHERE contains(c.p_name, word) OR contains(word, c.p_name)),
     CASE WHEN contains(asked, 'red') THEN 'KEYWORD' END, 'DEFAULT') AS kind FROM q LEFT JOIN cat e ON e.p_name = asked""")
 def ordered_catalogue_lookup(spark, sf_dir):
-    """Exact name, then substring either way (first entry of a small catalogue), keyword, default.
+    """Exact name, then substring either way (first entry of the catalogue), keyword, default; of every name.
 
-    The catalogue is capped at 40 parts by its definition, so it is broadcast.
+    The catalogue holds all names, so each name finds itself there; catalogue_lookup takes others too.
     """
     part = table(spark, sf_dir, "part")
-    catalogue = part.where("p_partkey <= 40").groupBy("p_name").agg(F.min("p_partkey").alias("ordinal"), F.min_by("p_type", "p_partkey").alias("kind"))
-    asked = part.where("p_partkey > 40").select(F.col("p_name").alias("asked")).distinct().withColumn("word", F.split_part("asked", F.lit(" "), F.lit(2)))
-    near = asked.select("word").distinct().join(F.broadcast(catalogue), F.col("p_name").contains(F.col("word")) | F.col("word").contains(F.col("p_name")))
+    catalogue = part.groupBy("p_name").agg(F.min("p_partkey").alias("ordinal"), F.min_by("p_type", "p_partkey").alias("kind"))
+    return catalogue_lookup(part.select(F.col("p_name").alias("asked")), catalogue)
+
+
+def catalogue_lookup(asked, catalogue):
+    """asked and kind of each distinct name asked, from a catalogue (p_name, ordinal, kind)."""
+    asked = asked.distinct().withColumn("word", F.split_part("asked", F.lit(" "), F.lit(2)))
+    near = asked.select("word").distinct().join(catalogue, F.col("p_name").contains(F.col("word")) | F.col("word").contains(F.col("p_name")))
     near = near.groupBy("word").agg(F.min_by("kind", "ordinal").alias("near"))
     df = asked.join(catalogue.select(F.col("p_name").alias("asked"), "kind"), "asked", "left").join(near, "word", "left")
     return df.select("asked", F.coalesce("kind", "near", F.when(F.col("asked").contains("red"), "KEYWORD"), F.lit("DEFAULT")).alias("kind"))

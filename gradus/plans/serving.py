@@ -100,9 +100,9 @@ def major_search_literal(spark, sf_dir):
   SELECT user_id, e.event_type, round(avg(e.value) - coalesce(any_value(mean), 6.5), 4) AS attribution FROM events e LEFT JOIN nat USING (event_type) WHERE user_id < 20 GROUP BY ALL""")
 def attribution_vs_mean(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    nation = events.where("user_id % 2 = 0").groupBy("event_type").agg(F.avg("value").alias("mean"))
-    own = events.where("user_id < 20").groupBy("user_id", "event_type").agg(F.avg("value").alias("own"))
-    return own.join(F.broadcast(nation), "event_type", "left").select("user_id", "event_type", F.round(F.col("own") - F.coalesce("mean", F.lit(6.5)), 4).alias("attribution"))
+    nation = events.groupBy("event_type").agg(F.avg("value").alias("mean"))
+    own = events.groupBy("user_id", "event_type").agg(F.avg("value").alias("own"))
+    return own.join(nation, "event_type", "left").select("user_id", "event_type", F.round(F.col("own") - F.coalesce("mean", F.lit(6.5)), 4).alias("attribution"))
 
 
 @query("""SELECT p_type AS sector, count(*) AS postings, round(avg(p_retailprice), 4) AS salary FROM part GROUP BY 1 ORDER BY postings DESC, sector LIMIT 6""")

@@ -50,3 +50,26 @@ def test_nfkc_normalises(spark, store):
     got = {r.doc_id: r.collapsed for r in registry.QUERIES["nfkc_whitespace"](spark, at).collect()}
     assert got == {i: None if t is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t)).strip() for i, t in enumerate(texts)}
     assert got[0] == "Full width" and got[1] == "fine flow" and got[3] == "été"
+
+
+def test_attribution_covers_all_users(spark, store):
+    rows = [(u, k, float(u * 3 + len(k))) for u in (1, 2, 19, 20, 501) for k in ("view", "click") for _ in range(u % 3 + 1)]
+    at = store("events", rows, "user_id bigint, event_type string, value double")
+    mean = lambda it: (lambda x: sum(x) / len(x))([*it])
+    got = {(r.user_id, r.event_type): r.attribution for r in registry.QUERIES["attribution_vs_mean"](spark, at).collect()}
+    assert got.keys() == {r[:2] for r in rows}
+    for u, k in got:
+        assert got[u, k] == pytest.approx(mean(v for x, y, v in rows if (x, y) == (u, k)) - mean(v for _, y, v in rows if y == k), abs=1e-4)
+
+
+def test_catalogue_holds_all_parts(spark, store):
+    from gradus.plans.marts import catalogue_lookup
+
+    rows = [(i, f"name{i} thing{i}", f"T{i}") for i in range(1, 91)] + [(91, "name50 thing50", "other")]
+    at = store("part", rows, "p_partkey bigint, p_name string, p_type string")
+    got = {r.asked: r.kind for r in registry.QUERIES["ordered_catalogue_lookup"](spark, at).collect()}
+    assert got == {n: t for _, n, t in rows[:90]}
+    catalogue = spark.createDataFrame([(n, i, t) for i, n, t in rows[:90]], "p_name string, ordinal bigint, kind string")
+    asked = ["my thing7", "my thing88", "red none", "my none", "name60 thing60"]
+    got = {r.asked: r.kind for r in catalogue_lookup(spark.createDataFrame([(a,) for a in asked], "asked string"), catalogue).collect()}
+    assert got == {"my thing7": "T7", "my thing88": "T88", "red none": "KEYWORD", "my none": "DEFAULT", "name60 thing60": "T60"}
