@@ -249,7 +249,7 @@ def ordinal_head_and_stable_sort(spark, sf_dir):
 @query()
 def deterministic_sample(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
-    return df.orderBy(F.xxhash64("o_orderkey"), "o_orderkey").limit(500)
+    return df.orderBy(F.xxhash64("o_orderkey"), "o_orderkey").limit(8000)
 
 
 @query("""WITH old AS (SELECT s_suppkey, s_name, s_suppkey % 4 AS rank FROM supplier WHERE s_suppkey % 3 <> 0),

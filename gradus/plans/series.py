@@ -232,7 +232,7 @@ def baseline_metrics_cube(spark, sf_dir):
   SELECT segment, {METRICS} FROM long SEMI JOIN top USING (segment) WHERE model = 'hybrid' GROUP BY segment""")
 def top_groups_metrics(spark, sf_dir):
     df = guesses(series(spark, sf_dir))
-    top = df.groupBy("segment").count().orderBy(F.desc("count"), "segment").limit(3)
+    top = df.groupBy("segment").count().orderBy(F.desc("count"), "segment").limit(10)
     return df.join(F.broadcast(top), "segment", "left_semi").where("model = 'hybrid'").groupBy("segment").agg(*ops.regression_metrics("target", "guess"))
 
 
@@ -273,12 +273,8 @@ EXAMS = """exams AS (
 
 @query(f"""WITH {EXAMS} SELECT year, subject, sum(n)::BIGINT AS n, round(sum(mean * n) / sum(n), 4) AS weighted_mean FROM exams WHERE mean IS NOT NULL AND n > 0 GROUP BY ALL""")
 def weighted_mean_long(spark, sf_dir):
-    wide = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("province"), F.year("ts").alias("year"))
-    subjects = ["view", "click", "purchase", "signup", "error"]
-    subjects = [r.event_type for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").limit(64).collect()] or subjects
-    wide = wide.agg(*[f for s in subjects for f in (F.round(F.avg(F.when(F.col("event_type") == s, F.col("value"))), 4).alias(f"mean_{s}"), F.count(F.when(F.col("event_type") == s, F.col("value"))).alias(f"count_{s}"))])
-    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), F.col(f"mean_{s}").alias("mean"), F.col(f"count_{s}").alias("n")) for s in subjects]))
-    long = wide.select("year", pairs.alias("p")).select("year", "p.*").where("mean is not null and n > 0")
+    keys = (F.col("user_id") % 10).alias("province"), F.year("ts").alias("year"), F.col("event_type").alias("subject")
+    long = table(spark, sf_dir, "events").groupBy(*keys).agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean")).where("mean is not null and n > 0")
     return long.groupBy("year", "subject").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("mean") * F.col("n")) / F.sum("n"), 4).alias("weighted_mean"))
 
 

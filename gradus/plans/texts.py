@@ -83,7 +83,7 @@ def last_n_history(spark, sf_dir):
     """The last six turns first, then the roles; the order matters."""
     back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     df = table(spark, sf_dir, "conversations").withColumn("back", back).where("back <= 6").where(F.col("role").isin("user", "assistant"))
-    return df.select("conv_id", "turn", "role", F.substring("text", 1, 100).alias("text"))
+    return df.select("conv_id", "turn", "role", F.substring("text", 1, 1000).alias("text"))
 
 
 @query("""WITH s AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '[" a ", "", "b' || user_id || '"]' WHEN event_id % 3 = 1 THEN 'plain ' || user_id END AS src FROM events)

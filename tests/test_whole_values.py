@@ -73,3 +73,20 @@ def test_catalogue_holds_all_parts(spark, store):
     asked = ["my thing7", "my thing88", "red none", "my none", "name60 thing60"]
     got = {r.asked: r.kind for r in catalogue_lookup(spark.createDataFrame([(a,) for a in asked], "asked string"), catalogue).collect()}
     assert got == {"my thing7": "T7", "my thing88": "T88", "red none": "KEYWORD", "my none": "DEFAULT", "name60 thing60": "T60"}
+
+
+def test_limits_are_the_references(spark, store):
+    at = store("conversations", [(1, t, "user", "é" * 1500) for t in range(8)], "conv_id bigint, turn int, role string, text string")
+    assert [len(r.text) for r in registry.QUERIES["last_n_history"](spark, at).collect()] == [1000] * 6
+    spark.range(9000).selectExpr("id AS o_orderkey").write.parquet(f"{at}/orders.parquet")
+    assert registry.QUERIES["deterministic_sample"](spark, at).count() == 8000
+    assert registry.QUERIES["top_groups_metrics"](spark, "/root/testdata/sf0.001").count() == 5  # all segments, of at most ten
+
+
+def test_weighted_mean_has_no_cap_of_event_types(spark, store):
+    rows = [(i, f"type{i % 70:02}", float(i), "2024-01-01") for i in range(700)]
+    df = spark.createDataFrame(rows, "user_id bigint, event_type string, value double, day string").selectExpr("user_id", "event_type", "value", "timestamp(day) AS ts")
+    at = store("unused", [(1,)], "x int")
+    df.write.parquet(f"{at}/events.parquet")
+    got = {r.subject: (r.n, r.weighted_mean) for r in registry.QUERIES["weighted_mean_long"](spark, at).collect()}
+    assert got == {f"type{k:02}": (10, k + 315.0) for k in range(70)}
