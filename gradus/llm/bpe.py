@@ -2,9 +2,11 @@
 
 1. Texts are split into words where they stand; each block of input (a stretch of one
    partition) emits its distinct words: (word, block).
-2. Grouped by word over the whole corpus, each distinct word is encoded exactly once by
-   the tokenizers library. The ids go back to the blocks that hold the word, as one small
-   dictionary file per block in the shared folder; the texts themselves never move.
+2. Brought together and sorted by word over the whole corpus, the pairs of a word follow one
+   another, and each distinct word is encoded exactly once by the tokenizers library. The ids
+   go back to the blocks that hold the word, as one small dictionary file per block in the
+   shared folder; the texts themselves never move. Pairs stream through: a word may be in any
+   number of blocks, and none is gathered.
 3. Each block joins ids back by position against its dictionary, and decodes its ids
    through the id-to-piece table, which is bounded by the vocabulary.
 
@@ -137,11 +139,20 @@ def _emit_words(path: str, block_chars: int, held: int):
 
 
 def _encode_table(path: str):
+    """Rows (word, block) sorted by word, with the word's ids: each word is encoded where its rows begin."""
+
     def run(batches):
         tok = load_tokenizer(path)
+        last, last_ids = None, ""
         for batch in batches:
-            ids = _encode_words(tok, batch.column("word").to_pylist())
-            yield pa.record_batch([batch.column("word"), pa.array(ids, pa.string()), batch.column("blocks")], ["word", "ids", "blocks"])
+            if not batch.num_rows:
+                continue
+            runs = batch.column("word").dictionary_encode()
+            words = runs.dictionary.to_pylist()
+            begun = words[0] == last
+            ids = [last_ids] * begun + _encode_words(tok, words[begun:])
+            last, last_ids = words[-1], ids[-1]
+            yield pa.record_batch([batch.column("word"), pa.array(ids, pa.string()).take(runs.indices), batch.column("block")], ["word", "ids", "block"])
 
     return run
 
@@ -200,9 +211,8 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, decode: bool = Tr
     source = docs.select(exact(docs, "doc_id").alias("doc_id"), exact(docs, "text").cast("string").alias("text"))
     uri = shared_dir(spark, "bpe-words")
     words = source.select("text").mapInArrow(_emit_words(path, block_chars, held_words), "word string, block bigint")
-    table = words.groupBy("word").agg(F.collect_set("block").alias("blocks"))
-    table = table.mapInArrow(_encode_table(path), "word string, ids string, blocks array<bigint>")
-    table = table.select("word", "ids", F.explode("blocks").alias("block"))
+    pairs = words.repartition("word").sortWithinPartitions("word")
+    table = pairs.mapInArrow(_encode_table(path), "word string, ids string, block bigint")
     table.repartition("block").sortWithinPartitions("block").write.option("compression", "zstd").partitionBy("block").parquet(uri)
     id_field = source.schema["doc_id"]
     schema = f"doc_id {id_field.dataType.simpleString()}, n_tokens bigint, ids string" + ", decoded string" * decode
