@@ -25,6 +25,7 @@ encoded on the spot, so results never depend on it.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,7 +54,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(4)
 def load_tokenizer(path: str):
+    """The tokenizer of a file, which tasks of one Python worker share."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -79,13 +82,14 @@ def split_words(text: str, special: re.Pattern | None) -> list[str]:
     return out + WORDS.findall(text[at:])
 
 
-def pieces(tok) -> dict[str, bytes]:
+@lru_cache(4)
+def pieces(path: str) -> dict[str, bytes]:
     """Decimal id -> bytes, undoing the byte-level alphabet; ids of added tokens give their text."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in printable}
     back |= {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in printable)}
     out = {}
-    for piece, i in tok.get_vocab(with_added_tokens=True).items():
+    for piece, i in load_tokenizer(path).get_vocab(with_added_tokens=True).items():
         known = all(c in back for c in piece)
         out[str(i)] = bytes(back[c] for c in piece) if known else piece.encode()
     return out
@@ -177,7 +181,7 @@ def _read_dictionary(uri: str, block: int) -> dict[str, str]:
 def _apply(path: str, uri: str, block_chars: int, decode: bool, id_type: pa.DataType):
     def run(batches):
         tok = load_tokenizer(path)
-        special, piece = _special(tok), pieces(tok) if decode else {}
+        special, piece = _special(tok), pieces(path) if decode else {}
         now, table = None, {}
         for block, rows in _blocks(batches, block_chars):
             if block != now:
@@ -227,7 +231,7 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFra
     id_type = to_arrow_type(id_field.dataType)
 
     def run(batches):
-        piece = pieces(load_tokenizer(path))
+        piece = pieces(path)
         for batch in batches:
             texts = [b"".join(map(piece.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else "" for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id").cast(id_type), pa.array(texts, pa.string())], ["doc_id", "text"])
