@@ -4,9 +4,10 @@ Base spans come of four patterns with their checks (email, ip, card, phone); the
 stay. The field adds what the patterns miss, such as national phone numbers, masked e-mail
 addresses, social security numbers and account numbers. It segments the tokens around
 digits and at-signs: a segment is one token outside any entity or an entity of at most
-MAX_TOKENS tokens, and whole-span features (shape, lengths of digit runs, checksums, edges,
+MAX_TOKENS tokens, MAX_CHARS characters and MAX_DIGITS digits, and whole-span features (shape, lengths of digit runs, checksums, edges,
 the word before) score each candidate with each type. A dynamic programme over segments
-jointly chooses boundaries and types. A span counts if it scores MARGIN over leaving it out.
+jointly chooses boundaries and types, as candidates stream by. A span counts if it scores
+MARGIN over leaving it out.
 
 Weights are learnt by stochastic gradient on the exact conditional likelihood (forward and
 backward sums over all segmentations) from sentences that a seeded generator makes, with
@@ -24,6 +25,7 @@ import math
 import random
 import re
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,7 +35,11 @@ from ._common import exact
 from .secrets import digest
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
-MAX_TOKENS, MARGIN, AROUND = 14, 4.0, 4
+MAX_TOKENS, MARGIN = 14, 2.0
+#: Characters to either side of a trigger that the field reads, and up to MAX_CHARS more of an unfinished word.
+AROUND = 60
+#: The longest legal e-mail address, and the most digits an account number can have.
+MAX_CHARS, MAX_DIGITS = 320, 34
 SENTENCES, EPOCHS, SEED = 360, 5, 11
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,6 +50,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 
+def octets(parts: list[str]) -> bool:
+    """Whether each number is at most 255, however many zeros it begins with."""
+    return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -73,7 +84,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(s, 0, e) for s, e in _emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
+            if octets(m.group().split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -123,7 +134,7 @@ def span_features(text: str, start: int, end: int, n_tokens: int, before: str) -
     if 12 <= digits <= 19 and shape.strip("9 -") == "":
         out.append(f"luhn={luhn(re.sub('[^0-9]', '', s))}")
     if len(runs) == 4 and shape == "9.9.9.9":
-        out.append(f"octets={all(int(x) <= 255 for x in s.split('.'))}")
+        out.append(f"octets={octets(s.split('.'))}")
     if s[:2].isalpha() and s[:2].isupper() and s[2:4].isdigit() and len(s) >= 15:
         out.append(f"iban={_iban(s)}")
     if _MASKED.match(s):
@@ -137,15 +148,15 @@ def span_features(text: str, start: int, end: int, n_tokens: int, before: str) -
     return out
 
 
-def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
-    """(first token, token after the last, features) of spans that may be entities."""
-    out = []
+def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[str]]]:
+    """(first token, token after the last, features) of spans that may be entities, by first token."""
     words = [text[a:b] for a, b in tokens]
     for i, (start, _) in enumerate(tokens):
         if not (words[i].isalnum() or words[i] in "+("):
             continue
         before = next((w.lower() for w in reversed(words[max(0, i - 3) : i]) if w.isalpha()), "")
-        digits, masked = 0, False
+        digits = ats = 0
+        masked = False
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
             if j > i and tokens[j][0] - tokens[j - 1][1] > 1:
                 break
@@ -153,10 +164,12 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int,
                 break
             word = words[j]
             digits += len(word) if word.isdigit() else 0
+            ats += word == "@"
+            if digits > MAX_DIGITS or ats > 1 or tokens[j][1] - start > MAX_CHARS:
+                break
             masked |= word == "@" or word.lower() == "at"
             if word.isalnum() and (digits >= 7 or masked and j - i >= 2):
-                out.append((i, j + 1, span_features(text, start, tokens[j][1], j + 1 - i, before)))
-    return out
+                yield i, j + 1, span_features(text, start, tokens[j][1], j + 1 - i, before)
 
 
 def _score(weights: dict, y: int, features: list[str]) -> float:
@@ -164,18 +177,26 @@ def _score(weights: dict, y: int, features: list[str]) -> float:
     return sum(own.get(f, 0.0) for f in features)
 
 
-def best_segments(n: int, found: list, weights: dict) -> list[tuple[int, int, int]]:
-    """(first, after last, kind) of the best segmentation's entities that score MARGIN."""
-    ends = defaultdict(list)
+def best_segments(n: int, found: Iterable, weights: dict) -> list[tuple[int, int, int]]:
+    """(first, after last, kind) of the best segmentation's entities that score MARGIN.
+
+    found: candidates by first token; of equally good segmentations, the one with fewer entities.
+    """
+    best, back, at = [0.0] * (n + 1), [None] * (n + 1), 0
+
+    def advance(to):
+        for k in range(at + 1, to + 1):
+            if best[k - 1] >= best[k]:
+                best[k], back[k] = best[k - 1], None
+        return to
+
     for i, j, features in found:
+        at = advance(i)
         for y in range(len(KINDS)):
-            ends[j].append((_score(weights, y, features), i, y))
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for s, i, y in ends[j]:
+            s = _score(weights, y, features)
             if s >= MARGIN and best[i] + s > best[j]:
                 best[j], back[j] = best[i] + s, (i, j, y)
+    advance(n)
     out, j = [], n
     while j > 0:
         if back[j]:
@@ -273,7 +294,7 @@ def train() -> dict[int, dict[str, float]]:
         tokens = [m.span() for m in _TOKEN.finditer(text)]
         first, after = {a: i for i, (a, _) in enumerate(tokens)}, {b: i + 1 for i, (_, b) in enumerate(tokens)}
         truth = {(first[s], after[e], k) for s, k, e in entities if s in first and e in after}
-        data.append((len(tokens), candidates(text, tokens), truth))
+        data.append((len(tokens), list(candidates(text, tokens)), truth))
     weights = {y: defaultdict(float, {"bias": -2.0}) for y in range(len(KINDS))}
     squares = {y: defaultdict(float) for y in range(len(KINDS))}
     rng = random.Random(SEED)
@@ -291,21 +312,20 @@ def field_spans(text: str, weights: dict) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the field's entities, from the tokens around triggers."""
     areas: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - 60), m.end() + 60
+        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        least, most = max(0, a - MAX_CHARS), min(len(text), b + MAX_CHARS)
+        while least < a and text[a].isalnum() and text[a - 1].isalnum():
+            a -= 1
+        while b < most and text[b - 1].isalnum() and text[b].isalnum():
+            b += 1
         if areas and a <= areas[-1][1]:
-            areas[-1][1] = b
+            areas[-1][1] = max(b, areas[-1][1])
         else:
             areas.append([a, b])
     out = []
     for a, b in areas:
-        while 0 < a < len(text) and text[a].isalnum() and text[a - 1].isalnum() and a > 0:
-            a -= 1
-        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
-            b += 1
-        tokens = [m.span() for m in _TOKEN.finditer(text, a, min(b, len(text)))]
-        found = candidates(text, tokens)
-        if found:
-            out += [(tokens[i][0], y, tokens[j - 1][1]) for i, j, y in best_segments(len(tokens), found, weights)]
+        tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
+        out += [(tokens[i][0], y, tokens[j - 1][1]) for i, j, y in best_segments(len(tokens), candidates(text, tokens), weights)]
     return out
 
 
