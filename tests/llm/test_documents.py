@@ -62,7 +62,10 @@ def test_quality_statistics(docs, empty):
         want[(doc_id, *s, s[0] < 50 or 100 * s[4] > 50 * s[0])] += 1
     assert got == want
     assert quality.judge(empty).count() == 0
-    assert quality.keep(docs).columns == docs.columns
+    kept = quality.keep(df)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in quality.judge(df).where("kept").collect())
+    assert quality.keep(empty).count() == 0
 
 
 def test_quality_rejects_outliers_of_a_group(spark):
@@ -79,18 +82,36 @@ def test_quality_rejects_outliers_of_a_group(spark):
 
 
 def mcd(x):
-    """Reference: concentration steps in NumPy from medians and deviations, as the module states."""
-    floors = np.array(quality.FLOORS) ** 2
-    m = np.median(np.round(x * 256) / 256, axis=0)
-    c = np.diag((1.4826 * np.median(np.round(np.abs(x - m) * 256) / 256, axis=0)) ** 2)
-    dist = lambda m, c: np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(c + np.diag(floors)), x - m)
+    """NumPy version: four starts, concentration steps on rounded rows until determinants rest, the least one stands."""
+    floors = np.array(quality.FLOORS)
+    exact, x = x, np.round(x * quality.GRID) / quality.GRID
+    dist = lambda y, m, c: np.einsum("ij,ij->i", (y - m) @ np.linalg.inv(c + np.diag(floors**2)), y - m)
     code = lambda d: np.round(np.log(np.maximum(d, 1e-9)) * 64)
-    for _ in range(quality.STEPS):
-        d = code(dist(m, c))
-        near = x[d <= np.quantile(d, quality.H)]
-        m, c = near.mean(axis=0), np.cov(near.T, bias=True)
-    scale = max(1.0, np.exp(np.median(code(dist(m, c))) / 64) / quality.MEDIAN_4)
-    return dist(m, c * scale)
+    moments = lambda y: (y.mean(axis=0), np.cov(y.T, bias=True))
+    det = lambda c: np.linalg.slogdet(c + np.diag(floors**2))[1]
+
+    def step(m, c, h):
+        d = code(dist(x, m, c))
+        return moments(x[d <= np.quantile(d, h)])
+
+    med = np.median(x, axis=0)
+    mad = 1.4826 * np.median(np.abs(x - med), axis=0)
+    wide = np.maximum(mad, floors)
+    z = (x - med) / wide
+    u = z / np.sqrt(np.maximum((z * z).sum(axis=1), 1e-12))[:, None]
+    plain = med, np.diag(mad**2)
+    found = []
+    for m, c in (plain, moments(x), step(*plain, 0.5), (med, wide[:, None] * wide * (u.T @ u) / len(x))):
+        m, c = step(m, c, quality.H)
+        for _ in range(quality.MAX_STEPS):
+            old = det(c)
+            m, c = step(m, c, quality.H)
+            if abs(det(c) - old) <= 1e-6:
+                break
+        found.append((det(c), m, c))
+    _, m, c = min(found, key=lambda f: f[0])
+    scale = max(1.0, np.exp(np.median(code(dist(x, m, c))) / 64) / quality.MEDIAN_4)
+    return dist(exact, m, c * scale)
 
 
 def test_quality_verdict_equals_numpy(spark):
@@ -110,6 +131,29 @@ def test_quality_verdict_equals_numpy(spark):
     assert all(kept[i] == (d[i] <= quality.CUT) for i in np.flatnonzero(sure))
 
 
+def test_least_determinant_resists_a_cluster(spark):
+    """A tight cluster of a fifth of the rows, far off, doesn't move the estimate."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(500):
+        far = i % 5 == 0
+        n = int(100 + rng.integers(300))
+        rows.append((i, n, int(n * (12 if far else rng.normal(5, 0.3))), n * far, 0, 0, "en", "s"))
+    stats = spark.createDataFrame(rows, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lang", "source"])
+    kept = {r.doc_id: r.kept for r in stats.join(quality._limits(stats), F.col("lang") == F.col("q_lang")).select("doc_id", quality._verdict().alias("kept")).collect()}
+    assert all(kept[i] == bool(i % 5) for i in kept)
+
+
+def test_small_groups_fall_back(spark):
+    """A source of few documents is judged by its language, a rare language by all documents."""
+    rows = [(i, 100, 500 + i % 7, 0, 0, 0, "en", "big" if i < 90 else "small") for i in range(100)]
+    rows += [(100, 100, 2000, 0, 0, 0, "en", "small"), (101, 100, 2000, 0, 0, 0, None, None), (102, 100, 503, 0, 0, 0, "xx", None)]
+    stats = spark.createDataFrame(rows, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lang string, source string")
+    on = F.col("lang").eqNullSafe(F.col("q_lang")) & F.col("source").eqNullSafe(F.col("q_source"))
+    rejected = {r.doc_id for r in stats.join(quality._limits(stats), on, "left").where(~quality._verdict()).collect()}
+    assert rejected == {100, 101}
+
+
 def fingerprint(text):
     words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = WORD.findall(words)
