@@ -17,10 +17,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one only where a session of one machine names none."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = f"file://{tempfile.mkdtemp(prefix='gradus-')}"
@@ -36,7 +38,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table that nothing reads any more."""
+    remove(df.sparkSession, df.written_to)
 
 
 @contextmanager

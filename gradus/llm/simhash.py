@@ -242,7 +242,8 @@ def links(fps: DataFrame, split: int = SPLIT) -> DataFrame:
 
     Colliding keys of buckets only add fingerprints to a comparison, which is exact.
     """
-    buckets = fps.mapInArrow(_replicate, "bucket bigint, fp bigint")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fingerprints are small, their copies many
+    buckets = fps.repartition(tasks, "fp").mapInArrow(_replicate, "bucket bigint, fp bigint")
     out = None
     for bands in (*BANDS, None):
         sorted_rows = buckets.repartition("bucket").sortWithinPartitions("bucket", "fp")
@@ -279,8 +280,8 @@ def keep(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """
     doc_id, text = exact(docs, "doc_id"), exact(docs, "text").cast("string")
     each = materialize(fingerprints(docs, with_hash=True), "fingerprints")
-    of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("k")
-    kept = each.join(_roots(each, split), "fp").groupBy("root").agg(of).select(F.col("k.doc_id").alias("kept_id"), F.col("k.hash").alias("kept_hash"))
+    first = each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("k"))  # copies meet before the join
+    kept = first.join(_roots(each, split), "fp").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.hash").alias("kept_hash"))
     names = dict(zip(kept.columns, fresh(docs, *kept.columns), strict=True))
     kept = kept.withColumnsRenamed(names)
     same = doc_id.eqNullSafe(F.col(names["kept_id"])) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(names["kept_hash"]))
