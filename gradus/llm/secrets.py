@@ -318,7 +318,7 @@ def redact(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     All rows and columns stay; overlapping spans are replaced as one, named for the first.
     """
     passes = thresholds(materialize(scan(docs), "secrets"), fdr)
-    text_at = next(i for i, c in enumerate(docs.columns) if c == "text")
+    text_at = next(i for name in ("text", None) for i, c in enumerate(docs.columns) if c == name or name is None and c.lower() == "text")
     chars_at = next((i for i, c in enumerate(docs.columns) if c == "n_chars"), None)
 
     def run(batches):
