@@ -243,7 +243,8 @@ def links(fps: DataFrame, split: int = SPLIT) -> DataFrame:
     Colliding keys of buckets only add fingerprints to a comparison, which is exact.
     """
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fingerprints are small, their copies many
-    buckets = fps.repartition(tasks, "fp").mapInArrow(_replicate, "bucket bigint, fp bigint")
+    # By a hash, as a second deal by fp itself would be dropped and its partitions merged again.
+    buckets = fps.repartition(tasks, F.xxhash64("fp")).mapInArrow(_replicate, "bucket bigint, fp bigint")
     out = None
     for bands in (*BANDS, None):
         sorted_rows = buckets.repartition("bucket").sortWithinPartitions("bucket", "fp")
