@@ -228,7 +228,7 @@ def baseline_metrics_cube(spark, sf_dir):
     return guesses(series(spark, sf_dir)).withColumn("part", part).groupBy("split", "part", "model").agg(*ops.regression_metrics("target", "guess"))
 
 
-@query(f"""WITH {GUESSES}, top AS (SELECT segment, count(*) AS n FROM long GROUP BY segment ORDER BY n DESC, segment LIMIT 3)
+@query(f"""WITH {GUESSES}, top AS (SELECT segment, count(*) AS n FROM long GROUP BY segment ORDER BY n DESC, segment LIMIT 10)
   SELECT segment, {METRICS} FROM long SEMI JOIN top USING (segment) WHERE model = 'hybrid' GROUP BY segment""")
 def top_groups_metrics(spark, sf_dir):
     df = guesses(series(spark, sf_dir))

@@ -96,8 +96,8 @@ def major_search_literal(spark, sf_dir):
     return df.where(F.lower("label").contains("#1[") | F.lower("label").contains("2[")).orderBy("p_partkey").limit(50)
 
 
-@query("""WITH nat AS (SELECT event_type, avg(value) AS mean FROM events WHERE user_id % 2 = 0 GROUP BY 1)
-  SELECT user_id, e.event_type, round(avg(e.value) - coalesce(any_value(mean), 6.5), 4) AS attribution FROM events e LEFT JOIN nat USING (event_type) WHERE user_id < 20 GROUP BY ALL""")
+@query("""WITH nat AS (SELECT event_type, avg(value) AS mean FROM events GROUP BY 1)
+  SELECT user_id, e.event_type, round(avg(e.value) - coalesce(any_value(mean), 6.5), 4) AS attribution FROM events e LEFT JOIN nat USING (event_type) GROUP BY ALL""")
 def attribution_vs_mean(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     nation = events.groupBy("event_type").agg(F.avg("value").alias("mean"))

@@ -9,24 +9,23 @@ from ..functions import text as fn
 from .registry import query, table
 
 FOLD = "replace(strip_accents(lower({0})), 'đ', 'd')"
-HEAD = "substr(text, 1, 200)"
 
 
 def _texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-@query(f"SELECT doc_id, {FOLD.format(HEAD)} AS folded FROM documents")
+@query(f"SELECT doc_id, {FOLD.format("text")} AS folded FROM documents")
 def fold_text(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", fn.fold(F.col("text")).alias("folded"))
 
 
-@query(f"SELECT doc_id, nullif(trim(regexp_replace({FOLD.format(HEAD)}, '[^a-z0-9]+', ' ', 'g')), '') AS slug FROM documents")
+@query(f"SELECT doc_id, nullif(trim(regexp_replace({FOLD.format("text")}, '[^a-z0-9]+', ' ', 'g')), '') AS slug FROM documents")
 def slug_key(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", fn.slug(F.col("text"), True).alias("slug"))
 
 
-@query(f"""WITH h AS (SELECT doc_id, {FOLD.format(HEAD)} AS f FROM documents)
+@query(f"""WITH h AS (SELECT doc_id, {FOLD.format("text")} AS f FROM documents)
   SELECT doc_id, trim(regexp_replace(f, '[^a-z0-9\\s]', ' ', 'g')) AS kept_runs, trim(regexp_replace(f, '[^a-z0-9]+', ' ', 'g')) AS collapsed,
     trim(regexp_replace(regexp_replace(f, '[^\\x00-\\x7f]+', '', 'g'), '\\s+', ' ', 'g')) AS ascii,
     trim(regexp_replace(regexp_replace(trim(regexp_replace(f, '[^a-z0-9]+', ' ', 'g')), '(^| )(the|of) ', ' ', 'g'), ' +', ' ', 'g')) AS named FROM h""")
@@ -36,7 +35,7 @@ def normaliser_variants(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", fn.slug_keep_runs(text).alias("kept_runs"), fn.slug(text).alias("collapsed"), fn.ascii_only(text).alias("ascii"), named.alias("named"))
 
 
-@query(f"SELECT doc_id, trim(regexp_replace({HEAD}, '\\s+', ' ', 'g')) AS collapsed FROM documents")
+@query()  # SQL has no NFKC; tested against plain Python
 def nfkc_whitespace(spark, sf_dir):
     from ..functions.unicode import nfkc_collapse
 
@@ -78,7 +77,7 @@ def token_relevance_top8(spark, sf_dir):
 
 
 @query("""WITH last AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
-  SELECT conv_id, turn, role, substr(text, 1, 100) AS text FROM last WHERE back <= 6 AND role IN ('user', 'assistant')""")
+  SELECT conv_id, turn, role, substr(text, 1, 1000) AS text FROM last WHERE back <= 6 AND role IN ('user', 'assistant')""")
 def last_n_history(spark, sf_dir):
     """The last six turns first, then the roles; the order matters."""
     back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
