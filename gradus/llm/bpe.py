@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import exact, open_fs, shared_dir
+from ._common import exact, materialize, open_fs, remove, shared_dir, small_batches
 
 _WS = r"\t-\r \x85\xa0  -     　"
 _LATIN = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -44,8 +44,8 @@ WORDS = re.compile(
 BLOCK_CHARS = 64_000_000
 #: Distinct words a task holds before it hands them on (some may then come twice).
 HELD_WORDS = 1_000_000
-#: Rows that a task turns into Python objects at a time.
-SLICE = 128
+#: Rows of an Arrow batch, and of those that a task turns into Python objects at a time.
+ROWS, SLICE = 2000, 128
 
 
 def default_tokenizer() -> str:
@@ -208,7 +208,15 @@ def _apply(path: str, uri: str, block_chars: int, decode: bool, id_type: pa.Data
 
 
 def encode(docs: DataFrame, tokenizer_path: str | None = None, decode: bool = True, block_chars: int = BLOCK_CHARS, held_words: int = HELD_WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, comma-joined) and, with decode, the decoded text."""
+    """doc_id, n_tokens, ids (decimal, comma-joined) and, with decode, the decoded text.
+
+    The blocks' dictionaries stay in the shared folder, as the result reads them when it is computed.
+    """
+    return _encode(docs, tokenizer_path, decode, block_chars, held_words)[0]
+
+
+def _encode(docs: DataFrame, tokenizer_path: str | None, decode: bool, block_chars: int = BLOCK_CHARS, held_words: int = HELD_WORDS) -> tuple[DataFrame, str]:
+    """(what encode gives, the folder of the dictionaries)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark, path = docs.sparkSession, tokenizer_path or default_tokenizer()
@@ -217,10 +225,11 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, decode: bool = Tr
     words = source.select("text").mapInArrow(_emit_words(path, block_chars, held_words), "word string, block bigint")
     pairs = words.repartition("word").sortWithinPartitions("word")
     table = pairs.mapInArrow(_encode_table(path), "word string, ids string, block bigint")
-    table.repartition("block").sortWithinPartitions("block").write.option("compression", "zstd").partitionBy("block").parquet(uri)
+    with small_batches(spark, ROWS):
+        table.repartition("block").sortWithinPartitions("block").write.option("compression", "zstd").partitionBy("block").parquet(uri)
     id_field = source.schema["doc_id"]
     schema = f"doc_id {id_field.dataType.simpleString()}, n_tokens bigint, ids string" + ", decoded string" * decode
-    return source.mapInArrow(_apply(path, uri, block_chars, decode, to_arrow_type(id_field.dataType)), schema)
+    return source.mapInArrow(_apply(path, uri, block_chars, decode, to_arrow_type(id_field.dataType)), schema), uri
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
@@ -240,14 +249,18 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFra
 
 
 def digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """Per document: n_tokens and the SHA-256 of its joined ids and of its decoded text."""
-    done = encode(docs, tokenizer_path)
-    return done.select(
+    """Per document: n_tokens and the SHA-256 of its joined ids and of its decoded text; no dictionary stays."""
+    done, uri = _encode(docs, tokenizer_path, True)
+    out = done.select(
         "doc_id",
         "n_tokens",
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+    with small_batches(docs.sparkSession, ROWS):
+        out = materialize(out, "bpe-digests")
+    remove(docs.sparkSession, uri)
+    return out
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
