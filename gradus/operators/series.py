@@ -56,15 +56,18 @@ def prior_stats(df: DataFrame, keys: list[str], target: str = "target", year: st
     )
 
 
-def previous_year_group(df: DataFrame, keys: list[str], name: str, target: str = "target", year: str = "year") -> DataFrame:
-    """Adds the mean target and size of the same group one year before."""
-    sums = df.groupBy(*keys, year).agg(F.avg(target).alias(f"{name}_mean"), F.count(F.lit(1)).alias(f"{name}_size"))
+def previous_year_group(df: DataFrame, keys: list[str], name: str, target: str = "target", year: str = "year", base: DataFrame | None = None) -> DataFrame:
+    """Adds the mean target and size of the same group one year before.
+
+    base: the rows to sum, where df has gathered other joins, so that plans grow with the number of joins alone.
+    """
+    sums = (df if base is None else base).groupBy(*keys, year).agg(F.avg(target).alias(f"{name}_mean"), F.count(F.lit(1)).alias(f"{name}_size"))
     return null_safe(df, sums.withColumn(year, F.col(year) + 1), [*keys, year])
 
 
-def prior_group_history(df: DataFrame, keys: list[str], name: str, target: str = "target", year: str = "year") -> DataFrame:
-    """Adds the mean and size of all strictly earlier years of the group, summed at its years' grain."""
-    sums = df.groupBy(*keys, year).agg(F.sum(target).alias("s"), F.count(target).alias("c"), F.count(F.lit(1)).alias("n"))
+def prior_group_history(df: DataFrame, keys: list[str], name: str, target: str = "target", year: str = "year", base: DataFrame | None = None) -> DataFrame:
+    """Adds the mean and size of all strictly earlier years of the group, summed at its years' grain; base as above."""
+    sums = (df if base is None else base).groupBy(*keys, year).agg(F.sum(target).alias("s"), F.count(target).alias("c"), F.count(F.lit(1)).alias("n"))
     w = prior_window(keys, year)
     total = lambda c: F.sum(c).over(w)
     sums = sums.select(*keys, year, (total("s") / F.nullif(total("c"), F.lit(0))).alias(f"{name}_mean"), F.coalesce(total("n"), F.lit(0)).alias(f"{name}_size"))

@@ -89,9 +89,9 @@ def _prev_sql():
 
 @query(_prev_sql())
 def group_prev_year_mean(spark, sf_dir):
-    df = series(spark, sf_dir)
+    df = base = series(spark, sf_dir)
     for name, keys in SETS.items():
-        df = ops.previous_year_group(df, keys, name)
+        df = ops.previous_year_group(df, keys, name, base=base)
     return rounded(df.drop("target"), KEYS)
 
 
@@ -110,9 +110,9 @@ def _history_sql():
 
 @query(_history_sql())
 def group_prior_history(spark, sf_dir):
-    df = series(spark, sf_dir)
+    df = base = series(spark, sf_dir)
     for name, keys in HISTORY.items():
-        df = ops.prior_group_history(df, keys, name)
+        df = ops.prior_group_history(df, keys, name, base=base)
         if "segment" in keys:  # a blank label is no group
             df = df.withColumn(f"{name}_mean", F.when(F.trim(F.coalesce("segment", F.lit(""))) != "", F.col(f"{name}_mean")))
     return rounded(df.drop("target"), KEYS)
@@ -135,7 +135,7 @@ def _cold(df):
     kind = F.when(F.col("lag_1_year").isNotNull(), "not_cold_start").when(F.col("last_observed").isNull(), "new_series").otherwise("history_gap")
     lagged = lagged.withColumn("cold_start", kind)
     for name, keys in {"pair": ["segment", "combo"], "combo": ["combo"], "all": []}.items():
-        lagged = ops.previous_year_group(lagged, keys, name if name != "combo" else "only_combo").withColumnRenamed("only_combo_mean", "combo_mean")
+        lagged = ops.previous_year_group(lagged, keys, name if name != "combo" else "only_combo", base=df).withColumnRenamed("only_combo_mean", "combo_mean")
     return lagged
 
 
@@ -214,7 +214,7 @@ GUESSES = (
 
 
 def guesses(df):
-    df = ops.prior_group_history(ops.lag_features(ops.prior_stats(df, KEYS), KEYS), ["combo"], "of_combo")
+    df = ops.prior_group_history(ops.lag_features(ops.prior_stats(df, KEYS), KEYS), ["combo"], "of_combo", base=df)
     df = df.withColumns({"split": split(), "historical_mean": F.col("prior_mean"), "last_value": F.col("last_observed"), "group_mean": F.col("of_combo_mean")})
     df = df.withColumn("hybrid", F.coalesce("last_value", "historical_mean", "group_mean")).where("split <> 'train'")
     return ops.unpivot(df, ["split", "segment", "nation", "year", "prior_count", "target"], MODELS, "model", "guess")

@@ -14,7 +14,12 @@ BAD = "_corrupt_record"
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the one that executors share; a temporary one if none is named."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gradus-')}"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='gradus-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -22,13 +27,40 @@ def text_schema(columns: list[str], keep_bad: bool = False) -> StructType:
     return StructType([StructField(c, StringType()) for c in [*columns, *[BAD] * keep_bad]])
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str], keep_bad: bool = True) -> DataFrame:
-    """All columns as text; empty stays empty; rows of another arity keep their line in BAD."""
-    reader = spark.read.schema(text_schema(columns, keep_bad)).option("header", True).option("escape", '"').option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, columns: list[str], keep_bad: bool = True, line_breaks: bool = True) -> DataFrame:
+    """All columns as text; empty stays empty; rows of another arity keep their line in BAD.
+
+    line_breaks: fields may hold them; without, a large file is split among tasks.
+    """
+    reader = spark.read.schema(text_schema(columns, keep_bad)).option("header", True).option("escape", '"').option("multiLine", line_breaks)
     df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).csv(path)
     return df.na.fill("", columns)  # CSV has no null; an empty field is the empty text
 
 
+def read_typed_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Columns by a declared schema, never inferred; a value of another type fails the read."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """JSON documents that span lines, by a declared schema."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A small report as one JSON document of rows; for tables of a few rows."""
+    rows = df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    rows.coalesce(1).write.mode("overwrite").text(path)
+
+
+def export(df: DataFrame, path: str, url: str | None = None, name: str | None = None) -> None:
+    """The same rows as CSV and JSON and, with a url, as a table that is emptied and filled again."""
+    write_csv(df, f"{path}/csv")
+    df.write.mode("overwrite").json(f"{path}/json")
+    if url:
+        df.write.format("jdbc").option("url", url).option("dbtable", name).option("truncate", True).mode("overwrite").save()
+
+
 def check_header(spark: SparkSession, path: str, columns: list[str]) -> None:
     """Raise unless the header has exactly these columns in this order."""
     found = spark.read.option("header", True).csv(path).columns
@@ -49,12 +81,17 @@ def read_or_build(spark: SparkSession, path: str, build) -> DataFrame:
 
 
 def read_jdbc(spark: SparkSession, url: str, statement: str, fallback) -> DataFrame:
-    """A query's rows over JDBC; the fallback's if it fails or is empty."""
+    """A query's rows over JDBC; the fallback's if the server can't be reached or there are none.
+
+    Only missing drivers and failed connections count as that; a wrong statement raises.
+    """
     try:
         df = spark.read.format("jdbc").option("url", url).option("query", statement).load()
         return fallback() if df.isEmpty() else df
-    except Exception:  # no driver or no server: the file source stands in
-        return fallback()
+    except Exception as error:
+        if any(x in str(error) for x in ("No suitable driver", "ClassNotFound", "Connection refused", "UnknownHost", "Communications link failure")):
+            return fallback()
+        raise
 
 
 def without_personal(df: DataFrame, names=("SBD", "sbd")) -> DataFrame:
@@ -62,10 +99,16 @@ def without_personal(df: DataFrame, names=("SBD", "sbd")) -> DataFrame:
 
 
 def roundtrip(df: DataFrame) -> DataFrame:
+    """Rows written as CSV with a malformed line beside them, read back, written as JSON and read back.
+
+    bad is 1 for rows that the CSV reader marked.
+    """
     spark, path = df.sparkSession, work_dir(df.sparkSession, "roundtrip")
     write_csv(df, f"{path}/csv")
+    broken = spark.createDataFrame([(",".join(df.columns),), ("one,two,three,four,five,six",)], "value string")
+    broken.coalesce(1).write.mode("append").text(f"{path}/csv")
     check_header(spark, f"{path}/csv", df.columns)
-    back = read_csv(spark, f"{path}/csv", df.columns)
-    back.drop(BAD).write.json(f"{path}/json")
-    again = spark.read.schema(text_schema(df.columns)).json(f"{path}/json")
-    return again.withColumn("bad", F.lit(0))
+    back = read_csv(spark, f"{path}/csv", df.columns, line_breaks=False)
+    back.withColumn("bad", F.col(BAD).isNotNull().cast("int").cast("string")).drop(BAD).write.json(f"{path}/json")
+    again = spark.read.schema(text_schema([*df.columns, "bad"])).json(f"{path}/json")
+    return again.withColumn("bad", F.col("bad").cast("int"))

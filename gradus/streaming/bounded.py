@@ -16,13 +16,11 @@ def dedup_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     State holds every id, as the batch form's shuffle would; a watermark would bound it.
     """
     name = f"dedup_{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    path = f"{sf_dir}/events.parquet"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory():
-        reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    else:
-        reader = spark.readStream.schema(schema).parquet(path)
+    # The stream repeats: every third event arrives again, as a source that delivers at least once may do.
+    events, path = spark.read.parquet(f"{sf_dir}/events.parquet"), work_dir(spark, "arrivals")
+    events.write.parquet(path)
+    events.where("event_id % 3 = 0").write.mode("append").parquet(path)
+    reader = spark.readStream.schema(events.schema).parquet(path)
     totals = reader.dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     run = totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", work_dir(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
