@@ -220,12 +220,18 @@ def guesses(df):
     return ops.unpivot(df, ["split", "segment", "nation", "year", "prior_count", "target"], MODELS, "model", "guess")
 
 
+#: The five segments that a row may count in; null for a cold start's depth.
+PARTS = """array('all', CASE WHEN prior_count > 0 THEN 'known' ELSE 'cold' END,
+  CASE WHEN prior_count = 1 THEN 'known_1_year' WHEN prior_count >= 2 THEN 'known_2plus' END)"""
+
+
 @query(f"""WITH {GUESSES}, cubed AS (
-    SELECT *, unnest(['all', CASE WHEN prior_count > 0 THEN 'known' ELSE 'cold' END]) AS part FROM long)
+    SELECT *, 'all' AS part FROM long UNION ALL SELECT *, 'known' FROM long WHERE prior_count > 0 UNION ALL SELECT *, 'cold' FROM long WHERE prior_count = 0
+    UNION ALL SELECT *, 'known_1_year' FROM long WHERE prior_count = 1 UNION ALL SELECT *, 'known_2plus' FROM long WHERE prior_count >= 2)
   SELECT split, part, model, {METRICS} FROM cubed GROUP BY ALL""")
 def baseline_metrics_cube(spark, sf_dir):
-    part = F.explode(F.array(F.lit("all"), F.when(F.col("prior_count") > 0, "known").otherwise("cold")))
-    return guesses(series(spark, sf_dir)).withColumn("part", part).groupBy("split", "part", "model").agg(*ops.regression_metrics("target", "guess"))
+    part = F.explode(F.expr(PARTS))
+    return guesses(series(spark, sf_dir)).withColumn("part", part).where("part is not null").groupBy("split", "part", "model").agg(*ops.regression_metrics("target", "guess"))
 
 
 @query(f"""WITH {GUESSES}, top AS (SELECT segment, count(*) AS n FROM long GROUP BY segment ORDER BY n DESC, segment LIMIT 10)

@@ -101,5 +101,6 @@ def test_csv_keeps_text_as_it_is(spark, tmp_path):
 
 def test_exact_median_imputation(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (10.0,), (None,)], "x double")
-    got = regression.impute(df, df, ["x"]).collect()
-    assert [(r.x, r.x_missing) for r in got] == [(1.0, 0.0), (2.0, 0.0), (10.0, 0.0), (2.0, 1.0)]
+    ready = regression.prepare(df, ["x"], [])
+    assert ready.names == ["x", "x_missing"]
+    assert [tuple(r.features.toArray()) for r in ready.model.transform(df).collect()] == [(1.0, 0.0), (2.0, 0.0), (10.0, 0.0), (2.0, 1.0)]

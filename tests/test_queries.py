@@ -12,6 +12,7 @@ from gradus.plans import registry
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 registry.load()
+MODELS = {"gbt_forecast", "model_selection_table", "model_acceptance", "model_importances", "forecast_scores", "ols_metrics_cube"}  # in test_models.py
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +42,6 @@ def test_matches_sql(spark, duck, name):
     assert got == rows(want.columns, [dict(zip(want.columns, r, strict=True)) for r in want.fetchall()])
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE) - {"model_selection_table", "gbt_forecast", "stream_dedup_agg"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE) - MODELS - {"stream_dedup_agg"}))
 def test_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
