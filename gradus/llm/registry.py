@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, mixing, pii, quality, secrets, simhash, token_files, toxicity
+from . import ann, audit, bpe, chat, merkle, mixing, packing, pii, quality, secrets, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_token_files": token_files.op9_token_files,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_audit": audit.op11_audit,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_packing": packing.op13_packing,
 }
 
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op7_chat": chat.ORACLE,
+    "op11_audit": audit.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }
