@@ -12,7 +12,7 @@ def request_errors(request: Mapping, combinations: Mapping[str, tuple[str, ...]]
     of at most most_interests texts that aren't blank.
     """
     out = []
-    name = str(request.get("combination") or "").strip().upper()
+    name = str(request.get("combination", "")).strip().upper()
     if not name:
         out.append(("combination", "missing"))
     elif name not in combinations:
@@ -20,6 +20,9 @@ def request_errors(request: Mapping, combinations: Mapping[str, tuple[str, ...]]
     scores = request.get("scores") or {}
     if not scores:
         out.append(("scores", "missing"))
+    elif not isinstance(scores, Mapping):
+        out.append(("scores", "not a mapping"))
+        scores = {}
     for subject in combinations.get(name, ()) if scores else ():
         value = scores.get(subject)
         if subject not in scores:

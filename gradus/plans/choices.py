@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions.exprs import clip, scale_quantiles
-from ..operators import lookup
+from ..operators import lookup, numbering
 from ..operators import series as ops
 from ..operators.lookup import top_per_group
 from .registry import query, table
@@ -138,6 +138,12 @@ def recommend_counts(spark, sf_dir):
     return out
 
 
+#: Pages beyond are taken as this one, which is empty: positions fit in 64 bits.
+LAST_PAGE = 10**16
+#: A page that ends within so many rows is found as a top-k, a later one by numbering all rows.
+TOP_ROWS = 10_000
+
+
 @dataclass
 class Search:
     """A search as it comes: texts, none required."""
@@ -152,15 +158,22 @@ class Search:
 
     def bounds(self) -> tuple[int, int]:
         """Page, 1 at least, and limit, 5 to 100; what is no number counts as 1 and 15."""
-        number = lambda s, other: int(s) if s.strip().lstrip("+-").isdigit() else other
-        return max(1, number(self.page, 1)), min(100, max(5, number(self.limit, 15)))
+
+        def number(text, other):
+            try:
+                return int(text)
+            except ValueError:
+                return other
+
+        return min(LAST_PAGE, max(1, number(self.page, 1))), min(100, max(5, number(self.limit, 15)))
 
 
 def search_page(rows: DataFrame, s: Search, seen: list[str]) -> DataFrame:
-    """The page of rows that a search asks for, with position, total, page, limit and pages.
+    """The page of rows that a search asks for, with total, page, limit and pages.
 
     rows: id (source order), combination, group, is_scale_40, cutoff, school and the columns
-    seen, which a text is looked for in, with and without accents. Conditions not given don't filter.
+    seen, which a text is looked for in, with and without accents. Conditions not given don't
+    filter. A page without rows is one row of a null id.
     """
     page, limit = s.bounds()
     df = rows
@@ -175,9 +188,16 @@ def search_page(rows: DataFrame, s: Search, seen: list[str]) -> DataFrame:
         df = df.where(hay.contains(q) | fn.fold(hay).contains(fn.fold(q)))
     order = {"cutoff_asc": [F.asc("cutoff")], "cutoff_desc": [F.desc("cutoff")], "school_asc": [F.asc("school")]}.get(s.sort, [])
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    df = df.orderBy(*order, "id").limit(page * limit).offset((page - 1) * limit)  # a top-k, then its end
-    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / limit)).cast("int")
-    return df.crossJoin(F.broadcast(total)).select("id", "total", F.lit(page).alias("page"), F.lit(limit).alias("limit"), pages.alias("pages"))
+    first = (page - 1) * limit
+    if page * limit <= TOP_ROWS:
+        found = df.orderBy(*order, "id").limit(page * limit).offset(first).select("id")
+    elif first >= total.first().total:
+        found = df.select("id").limit(0)
+    else:
+        found = numbering.positions(df.select(*dict.fromkeys(["cutoff", "school", "id"])), [*order, F.col("id")]).where(F.col("position").between(first, first + limit - 1)).select("id")
+    pages = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("total") / limit))
+    whole = F.broadcast(total.select("total", F.lit(page).cast("bigint").alias("page"), F.lit(limit).alias("limit"), pages.alias("pages")))  # one row
+    return found.join(whole, F.lit(True), "right")
 
 
 SEARCHES = [
@@ -186,6 +206,11 @@ SEARCHES = [
     Search(group="AN", scale="40", sort="school_asc", limit="30"),
     Search(q="navy", scale="30", sort="as_is", page="-3"),
     Search(q="rosé", limit="7"),
+    Search(q="steel", page="99999999999", limit="100"),
+    Search(page="+-5", limit="5"),
+    Search(q="no such thing", page="²", limit="--3"),
+    Search(group="brass", sort="cutoff_asc", page="1" + "0" * 30),
+    Search(combination="1", page="2", sort="school_asc", limit="20"),
 ]
 
 
@@ -202,8 +227,9 @@ def _search_sql(k: int, s: Search) -> str:
     if s.q.strip():
         where.append(f"(contains({hay}, '{s.q.strip().lower()}') OR contains(strip_accents({hay}), strip_accents('{s.q.strip().lower()}')))")
     order = {"cutoff_asc": "p_retailprice, ", "cutoff_desc": "p_retailprice DESC, ", "school_asc": "p_brand, "}.get(s.sort, "")
-    return f"""SELECT * FROM (SELECT {k} AS request, p_partkey AS id, count(*) OVER () AS total, {page} AS page, {limit} AS "limit", greatest(1, ceil(count(*) OVER () / {limit}))::INT AS pages
-      FROM part WHERE {" AND ".join(where)} ORDER BY {order}p_partkey LIMIT {limit} OFFSET {(page - 1) * limit})"""
+    return f"""SELECT {k} AS request, id, total, {page}::BIGINT AS page, {limit} AS "limit", greatest(1, ceil(total / {limit}))::BIGINT AS pages
+      FROM (SELECT count(*) AS total FROM part WHERE {" AND ".join(where)})
+      LEFT JOIN (SELECT p_partkey AS id FROM part WHERE {" AND ".join(where)} ORDER BY {order}p_partkey LIMIT {limit} OFFSET {(page - 1) * limit}) ON true"""
 
 
 @query(" UNION ALL ".join(_search_sql(k, s) for k, s in enumerate(SEARCHES)))
@@ -212,7 +238,7 @@ def search_requests(spark, sf_dir):
     part, out = table(spark, sf_dir, "part"), None
     rows = part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("combination"), F.col("p_type").alias("group"), (F.col("p_size") > 40).alias("is_scale_40"), F.col("p_retailprice").alias("cutoff"), F.col("p_brand").alias("school"), "p_name", "p_brand", "p_type")
     for k, s in enumerate(SEARCHES):
-        one = search_page(rows, s, ["p_name", "p_brand", "p_type"]).select(F.lit(k).alias("request"), "*")
+        one = search_page(rows, s, ["p_name", "p_brand", "p_type"]).select(F.lit(k).alias("request"), "id", "total", "page", "limit", "pages")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from ..operators import catalogue as catalogues
 from ..operators import lookup as ops
 from .registry import query, table
 from .series import EXAMS
@@ -196,27 +197,38 @@ def feature_store_join_fallback(spark, sf_dir):
     return df.select("c_custkey", "c_name", "n_name", F.coalesce("n_name", F.lit("no nation")).alias("shown"), F.upper(F.substring("c_name", 1, 1)).alias("initial"))
 
 
-@query("""WITH cat AS (SELECT p_name, min(p_partkey) AS ordinal, min_by(p_type, p_partkey) AS kind FROM part GROUP BY 1),
-  q AS (SELECT DISTINCT p_name AS asked, split_part(p_name, ' ', 2) AS word FROM part)
-  SELECT asked, coalesce(e.kind, (SELECT min_by(c.kind, c.ordinal) FROM cat c WHERE contains(c.p_name, word) OR contains(word, c.p_name)),
-    CASE WHEN contains(asked, 'red') THEN 'KEYWORD' END, 'DEFAULT') AS kind FROM q LEFT JOIN cat e ON e.p_name = asked""")
+WORDS_OF = [(["red", "gold"], "WARM"), (["blue", "navy"], "COLD")]
+_CODE = "lpad((p_partkey * 7919 % 10000000)::VARCHAR, 7, '0')"
+_ASKED = f"""CASE p_partkey % 5 WHEN 0 THEN 'C-' || {_CODE} WHEN 1 THEN {_CODE}[1:4] || '999x' WHEN 2 THEN {_CODE}[1:2] WHEN 3 THEN NULL ELSE '9' || {_CODE} END"""
+_NAME = "CASE WHEN p_partkey % 211 = 3 THEN '(' || p_brand || ')' ELSE ' ' || p_name || ' ' || p_type || ' (' || p_brand || ')' END"
+_ENTRY = "CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 2) || ' ' || p_type WHEN 1 THEN p_name || ' ' || p_type || ' Premium' ELSE '' END"
+
+
+@query(f"""WITH cat AS (SELECT p_partkey AS ordinal, {_CODE} AS code, lower({_ENTRY}) AS entry_name, p_brand AS "group" FROM part WHERE p_partkey % 41 = 7),
+  q AS (SELECT DISTINCT regexp_replace(coalesce({_ASKED}, ''), '[^0-9]', '', 'g') AS code, lower(trim(regexp_replace({_NAME}, '\\(.*?\\)', '', 'g'))) AS name FROM part),
+  f AS (SELECT q.*, (SELECT max(ordinal) FROM cat WHERE cat.code = q.code) AS of_code,
+      (SELECT min(ordinal) FROM cat WHERE entry_name <> '' AND (contains(q.name, entry_name) OR contains(entry_name, q.name))) AS of_name,
+      (SELECT min(ordinal) FROM cat WHERE q.code <> '' AND starts_with(cat.code, CASE WHEN length(q.code) >= 4 THEN q.code[1:4] ELSE q.code[1:3] END)) AS of_prefix FROM q),
+  e AS (SELECT *, coalesce(of_code, of_name, of_prefix) AS entry FROM f)
+  SELECT e.code, e.name, e.entry, CASE WHEN e.entry IS NOT NULL THEN cat."group" WHEN contains(e.name, 'red') OR contains(e.name, 'gold') THEN 'WARM' WHEN contains(e.name, 'blue') OR contains(e.name, 'navy') THEN 'COLD' ELSE 'DEFAULT' END AS "group",
+    CASE WHEN of_code IS NOT NULL THEN 'code' WHEN of_name IS NOT NULL THEN 'name' WHEN of_prefix IS NOT NULL THEN 'prefix' WHEN regexp_matches(e.name, 'red|gold|blue|navy') THEN 'keyword' ELSE 'default' END AS basis
+  FROM e LEFT JOIN cat ON cat.ordinal = e.entry""")
 def ordered_catalogue_lookup(spark, sf_dir):
-    """Exact name, then substring either way (first entry of the catalogue), keyword, default; of every name.
+    """Code, names that hold one another either way (first entry), code prefix, keyword, default.
 
-    The catalogue holds all names, so each name finds itself there; catalogue_lookup takes others too.
+    Most of what is asked for isn't in the catalogue, which holds one part in 41.
     """
     part = table(spark, sf_dir, "part")
-    catalogue = part.groupBy("p_name").agg(F.min("p_partkey").alias("ordinal"), F.min_by("p_type", "p_partkey").alias("kind"))
-    return catalogue_lookup(part.select(F.col("p_name").alias("asked")), catalogue)
-
-
-def catalogue_lookup(asked, catalogue):
-    """asked and kind of each distinct name asked, from a catalogue (p_name, ordinal, kind)."""
-    asked = asked.distinct().withColumn("word", F.split_part("asked", F.lit(" "), F.lit(2)))
-    near = asked.select("word").distinct().join(catalogue, F.col("p_name").contains(F.col("word")) | F.col("word").contains(F.col("p_name")))
-    near = near.groupBy("word").agg(F.min_by("kind", "ordinal").alias("near"))
-    df = asked.join(catalogue.select(F.col("p_name").alias("asked"), "kind"), "asked", "left").join(near, "word", "left")
-    return df.select("asked", F.coalesce("kind", "near", F.when(F.col("asked").contains("red"), "KEYWORD"), F.lit("DEFAULT")).alias("kind"))
+    words = F.split("p_name", " ")
+    digits = F.lpad((F.col("p_partkey") * 7919 % 10000000).cast("string"), 7, "0")
+    kind = F.col("p_partkey") % 3
+    name = F.when(kind == 0, F.concat(words[1], F.lit(" "), "p_type")).when(kind == 1, F.concat("p_name", F.lit(" "), "p_type", F.lit(" Premium"))).otherwise("")
+    catalogue = part.where("p_partkey % 41 = 7").select(F.col("p_partkey").alias("ordinal"), digits.alias("code"), name.alias("name"), F.col("p_brand").alias("group"))
+    how = F.col("p_partkey") % 5
+    code = F.when(how == 0, F.concat(F.lit("C-"), digits)).when(how == 1, F.concat(F.substring(digits, 1, 4), F.lit("999x"))).when(how == 2, F.substring(digits, 1, 2)).when(how == 4, F.concat(F.lit("9"), digits))
+    brand = F.concat(F.lit("("), "p_brand", F.lit(")"))
+    asked = F.when(F.col("p_partkey") % 211 == 3, brand).otherwise(F.concat(F.lit(" "), "p_name", F.lit(" "), "p_type", F.lit(" "), brand))
+    return catalogues.ordered_lookup(part.select(code.alias("code"), asked.alias("name")), catalogue, WORDS_OF, "DEFAULT")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'N/A' WHEN event_id % 4 = 1 THEN (event_id % 9)::VARCHAR || ' years' WHEN event_id % 4 = 2 THEN (event_id % 30)::VARCHAR || ' months' ELSE 'None' END AS txt,

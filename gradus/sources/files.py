@@ -23,6 +23,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back: computed once, whatever reads it."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_schema(columns: list[str], keep_bad: bool = False) -> StructType:
     return StructType([StructField(c, StringType()) for c in [*columns, *[BAD] * keep_bad]])
 

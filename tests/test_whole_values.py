@@ -62,19 +62,6 @@ def test_attribution_covers_all_users(spark, store):
         assert got[u, k] == pytest.approx(mean(v for x, y, v in rows if (x, y) == (u, k)) - mean(v for _, y, v in rows if y == k), abs=1e-4)
 
 
-def test_catalogue_holds_all_parts(spark, store):
-    from gradus.plans.marts import catalogue_lookup
-
-    rows = [(i, f"name{i} thing{i}", f"T{i}") for i in range(1, 91)] + [(91, "name50 thing50", "other")]
-    at = store("part", rows, "p_partkey bigint, p_name string, p_type string")
-    got = {r.asked: r.kind for r in registry.QUERIES["ordered_catalogue_lookup"](spark, at).collect()}
-    assert got == {n: t for _, n, t in rows[:90]}
-    catalogue = spark.createDataFrame([(n, i, t) for i, n, t in rows[:90]], "p_name string, ordinal bigint, kind string")
-    asked = ["my thing7", "my thing88", "red none", "my none", "name60 thing60"]
-    got = {r.asked: r.kind for r in catalogue_lookup(spark.createDataFrame([(a,) for a in asked], "asked string"), catalogue).collect()}
-    assert got == {"my thing7": "T7", "my thing88": "T88", "red none": "KEYWORD", "my none": "DEFAULT", "name60 thing60": "T60"}
-
-
 def test_limits_are_the_references(spark, store):
     at = store("conversations", [(1, t, "user", "é" * 1500) for t in range(8)], "conv_id bigint, turn int, role string, text string")
     assert [len(r.text) for r in registry.QUERIES["last_n_history"](spark, at).collect()] == [1000] * 6
