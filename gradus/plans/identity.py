@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import similarity, text
+from ..functions import text
+from ..operators import pairs
 from ..operators.gates import distinct_join
 from .registry import query, table
 
@@ -41,8 +42,8 @@ AMBIGUITY = """a AS (SELECT o_custkey, o_orderpriority, count(DISTINCT o_totalpr
 
 
 def _ambiguity(spark, sf_dir):
-    fine = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority", "o_orderstatus").agg(F.collect_set("o_totalprice").alias("s"), F.count_distinct("o_totalprice").alias("m"))
-    both = fine.groupBy("o_custkey", "o_orderpriority").agg(F.size(F.array_distinct(F.flatten(F.collect_list("s")))).alias("n"), F.max("m").alias("m"))
+    prices = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority", "o_orderstatus").agg(F.count_distinct("o_totalprice").alias("m"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    both = prices.groupBy("o_custkey", "o_orderpriority").agg(F.when(F.min("low") == F.max("high"), 1).otherwise(2).alias("n"), F.max("m").alias("m"))
     kind = F.when(F.col("n") == 1, "clear").when(F.col("m") == 1, "resolved_by_status").otherwise("ambiguous")
     return both.select("o_custkey", "o_orderpriority", kind.alias("kind"))
 
@@ -68,23 +69,40 @@ def review_queue_union(spark, sf_dir):
     return one.unionByName(two).unionByName(row(poor, "negative_balance", "low", F.col("c_custkey").cast("string"), F.lit(1), F.col("c_mktsegment")))
 
 
-def _pairs(spark, sf_dir):
-    """Unordered pairs of names within one brand."""
-    names = table(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.sort_array(F.collect_set("p_size")).alias("sizes"))
-    other = names.select("p_brand", F.col("p_name").alias("q_name"), F.col("sizes").alias("q_sizes"))
-    return names.join(other, "p_brand").where("p_name < q_name")
+JACCARD, HIGH, MEDIUM = 0.5, 0.90, 0.78
 
 
-@query("""WITH n AS (SELECT p_brand, p_name, list(DISTINCT p_size) AS sizes FROM part GROUP BY ALL)
-  SELECT a.p_brand, a.p_name, b.p_name AS q_name, len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' ')))::DOUBLE
-    / len(list_distinct(list_concat(string_split(a.p_name, ' '), string_split(b.p_name, ' ')))) AS jaccard, list_has_any(a.sizes, b.sizes) AS overlap
-  FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name < b.p_name""")
+def _named(spark, sf_dir):
+    """Names of each brand with their sizes (which stand for years) and prices (for codes)."""
+    name = text.slug(F.concat_ws(" ", "p_name", "p_type"))
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("group"), name.alias("name"), "p_size", F.floor("p_retailprice").alias("code"))
+    return part.groupBy("group", "name").agg(F.collect_set("p_size").alias("sizes"), F.collect_set("code").alias("codes"))
+
+
+def _with_both(pairs_, named):
+    for side in ("a", "b"):
+        own = named.select("group", F.col("name").alias(side), F.col("sizes").alias(f"{side}_sizes"), F.col("codes").alias(f"{side}_codes"))
+        pairs_ = pairs_.join(own, ["group", side])
+    return pairs_.withColumns({"overlap": F.arrays_overlap("a_sizes", "b_sizes"), "shared_code": F.arrays_overlap("a_codes", "b_codes")})
+
+
+@query(f"""WITH n AS (SELECT p_brand, p_name || ' ' || lower(p_type) AS name, list(DISTINCT p_size) AS sizes FROM part GROUP BY ALL), w AS (SELECT *, string_split(name, ' ') AS words FROM n)
+  SELECT a.p_brand, a.name AS p_name, b.name AS q_name, len(list_intersect(a.words, b.words))::DOUBLE / len(list_distinct(list_concat(a.words, b.words))) AS jaccard, list_has_any(a.sizes, b.sizes) AS overlap
+  FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.name < b.name WHERE len(list_intersect(a.words, b.words))::DOUBLE / len(list_distinct(list_concat(a.words, b.words))) >= {JACCARD}""")
 def identity_pairs_jaccard(spark, sf_dir):
-    words = lambda c: F.split(text.slug(F.col(c)), " ")
-    return _pairs(spark, sf_dir).select("p_brand", "p_name", "q_name", similarity.jaccard(words("p_name"), words("q_name")).alias("jaccard"), F.arrays_overlap("sizes", "q_sizes").alias("overlap"))
+    """Names of a brand that have half of their words in common, and whether they have a size in common."""
+    named = _named(spark, sf_dir)
+    df = _with_both(pairs.by_words(named, JACCARD), named)
+    return df.select(F.col("group").alias("p_brand"), F.col("a").alias("p_name"), F.col("b").alias("q_name"), "jaccard", "overlap")
 
 
 @query()
 def identity_pairs_ratio(spark, sf_dir):
-    df = _pairs(spark, sf_dir).select("p_brand", "p_name", "q_name")
-    return df.withColumn("ratio", F.round(similarity.sequence_ratio("p_name", "q_name"), 4))
+    """Names of a brand alike by the greater of both measures, with what is to be done about them."""
+    named = _named(spark, sf_dir)
+    df = _with_both(pairs.by_either(named, MEDIUM), named)
+    near = F.col("similarity") >= HIGH
+    decision = F.when(F.col("overlap"), "keep_split_same_year_coexistence").when(near & F.col("shared_code"), "candidate_alias_high_confidence_needs_official_verification").otherwise("candidate_alias_medium_confidence_needs_official_verification")
+    evidence = F.when(F.col("overlap"), "strong_local_evidence").when(near & F.col("shared_code"), "similar_name_and_shared_major_code").otherwise("name_similarity_only")
+    measures = [F.round(c, 4).alias(c) for c in ("ratio", "jaccard", "similarity")]
+    return df.select(F.col("group").alias("p_brand"), F.col("a").alias("p_name"), F.col("b").alias("q_name"), *measures, "overlap", "shared_code", decision.alias("decision"), evidence.alias("evidence"))

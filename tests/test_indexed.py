@@ -1,8 +1,11 @@
 """Indexed lookups and joins against plain loops over all pairs."""
 
 import random
+from difflib import SequenceMatcher
 
-from gradus.operators import catalogue, numbering
+import pytest
+
+from gradus.operators import catalogue, numbering, pairs
 
 
 def test_texts_that_hold_others(spark):
@@ -57,3 +60,32 @@ def test_positions_over_ranges(spark):
         got.setdefault(r.k, {})[r.position] = r.v
     for k, places in got.items():
         assert [places[i] for i in range(len(places))] == sorted((v for x, v in rows if x == k), reverse=True)
+
+
+def close_names(rng, n):
+    words = ["kinh", "doanh", "quan", "tri", "cong", "nghe", "thong", "tin", "y", "khoa", "ai"]
+    out = set()
+    for _ in range(n):
+        name = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 6)))
+        out |= {name, "".join(c for c in name if rng.random() > 0.08), name[: rng.randrange(1, 4)], "zz" + name[::-1]}
+    return sorted(x for x in out if x) + ["x" * 30, "x" * 31, "xy" * 15]
+
+
+@pytest.mark.parametrize("least", [0.7, 0.78, 0.9, 1.0])
+def test_similar_pairs(spark, least):
+    rng = random.Random(least)
+    names = [(g, n) for g in ("a", "b") for n in close_names(rng, 25)]
+    df = spark.createDataFrame([*names, *names[:5], (None, "kinh"), ("a", None)], "`group` string, name string")
+    want, alike = {}, {}
+    for g, a in names:
+        for h, b in names:
+            if g == h and a < b:
+                ratio, (x, y) = SequenceMatcher(None, a, b).ratio(), (set(a.split()), set(b.split()))
+                jaccard = len(x & y) / len(x | y) if x | y else 0
+                if jaccard >= least:
+                    alike[g, a, b] = jaccard
+                if max(ratio, jaccard) >= least:
+                    want[g, a, b] = ratio, max(ratio, jaccard)
+    assert {(r.group, r.a, r.b): r.jaccard for r in pairs.by_words(df, least).collect()} == alike
+    got = pairs.by_either(df, least).collect()
+    assert len(got) == len(want) > 0 and {(r.group, r.a, r.b): (r.ratio, r.similarity) for r in got} == want
