@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import interests
 from ..functions import text as fn
 from ..functions.exprs import clip, scale_quantiles
-from ..operators import lookup, numbering
+from ..operators import forecasts, lookup, numbering
 from ..operators import series as ops
 from ..operators.lookup import top_per_group
+from ..operators.quantiles import with_quantiles
+from ..sources.files import read_or_build, shared_dir, store
 from .registry import query, table
 from .series import KEYS, PRIOR, series
 
@@ -23,92 +27,140 @@ SALARY, POSTINGS = (15.0, 5.0), (500.0, 10.0)
 NOTHING_FOUND = "no option meets these conditions"
 
 
-def recommend(options: DataFrame, user_score: float, interested: bool) -> DataFrame:
-    """Options on the 30-point scale within reach, with gap, bucket and score of one candidate.
+def recommend_all(options: DataFrame, user_scores: list[float], interested: bool) -> DataFrame:
+    """Options on the 30-point scale within reach of each score, with user_score, gap, bucket and score.
 
     options: cutoff, predicted (null: the cutoff stands), is_scale_40, fit (share of interests
     met), salary, postings, years_observed, std, ambiguous. With interests, options that meet
-    none are left out. Salaries and postings are scaled by quantiles of the options left, a
-    single row.
+    none are left out. Salaries and postings are scaled by exact quantiles of the options left to
+    a score, found for all scores together.
     """
     ranking = F.coalesce("predicted", "cutoff")
     df = options.where(~F.coalesce("is_scale_40", F.lit(False)) & F.col("cutoff").isNotNull())
-    df = df.withColumn("ranking_cutoff", ranking).withColumn("gap", F.round(F.lit(user_score) - ranking, 2)).where("gap >= -3")
+    df = df.withColumns({"ranking_cutoff": ranking, "user_score": F.explode(F.array(*map(F.lit, user_scores)))})
+    df = df.withColumn("gap", F.round(F.col("user_score") - F.col("ranking_cutoff"), 2)).where("gap >= -3")
     if interested:
         df = df.where("fit > 0")
     filled = lambda name, other, least: F.greatest(F.lit(least), F.coalesce(F.col(name), F.lit(other)))
     df = df.withColumns({"salary": filled("salary", *SALARY), "postings": filled("postings", *POSTINGS)})
-    both = F.array(F.lit(0.05), F.lit(0.95))
-    q = df.agg(F.percentile("salary", both).alias("qs"), F.percentile("postings", both).alias("qd"))
-    df = df.crossJoin(F.broadcast(q))  # one row
+    df = with_quantiles(store(df, "options"), ["user_score"], ["salary", "postings"], [0.05, 0.95])
     stable = F.when((F.coalesce("years_observed", F.lit(1)) >= 2) & F.col("std").isNotNull() & ~F.coalesce("ambiguous", F.lit(False)), 1 / (1 + F.col("std"))).otherwise(0.5)
-    parts = [clip((F.col("gap") + 3) / 4, 0.05, 1.0), F.col("fit"), scale_quantiles(F.col("salary"), F.col("qs")[0], F.col("qs")[1]), scale_quantiles(F.col("postings"), F.col("qd")[0], F.col("qd")[1]), stable]
+    scaled = lambda name: scale_quantiles(F.col(name), F.col(f"q_{name}")[0], F.col(f"q_{name}")[1])
+    parts = [clip((F.col("gap") + 3) / 4, 0.05, 1.0), F.col("fit"), scaled("salary"), scaled("postings"), stable]
     weights = INTERESTED if interested else PLAIN
     total = sum(weights)
     score = sum((p * (w / total) for p, w in zip(parts[1:], weights[1:], strict=True)), parts[0] * (weights[0] / total))
     bucket = F.when(F.col("gap") >= 1, "safe").when(F.col("gap") >= -1, "match").otherwise("reach")
-    return df.withColumns({"bucket": bucket, "score": F.round(100 * score, 1)}).drop("qs", "qd")
+    return df.withColumns({"bucket": bucket, "score": F.round(100 * score, 1)}).drop("q_salary", "q_postings")
+
+
+def recommend(options: DataFrame, user_score: float, interested: bool) -> DataFrame:
+    """recommend_all for one score."""
+    return recommend_all(options, [user_score], interested)
 
 
-def response(scored: DataFrame, user_score: float) -> DataFrame:
-    """One row: the score, options in each bucket and in all, and a message if there are none."""
+def response(scored: DataFrame, user_scores: list[float]) -> DataFrame:
+    """For each score, options in each bucket and in all, and a message if there are none."""
     counts = [F.count_if(F.col("bucket") == b).alias(b) for b in ("safe", "match", "reach")]
-    df = scored.agg(*counts, F.count(F.lit(1)).alias("total"))
-    return df.select(F.lit(user_score).alias("user_score"), "safe", "match", "reach", "total", F.when(F.col("total") == 0, NOTHING_FOUND).alias("message"))
+    found = scored.groupBy("user_score").agg(*counts)
+    asked = scored.sparkSession.createDataFrame([(s,) for s in user_scores], "user_score double")
+    df = asked.join(found, "user_score", "left").na.fill(0, ["safe", "match", "reach"]).withColumn("total", F.col("safe") + F.col("match") + F.col("reach"))
+    return df.withColumn("message", F.when(F.col("total") == 0, NOTHING_FOUND))
 
 
 INTERESTS = {"machines": ["machinery", "automobile"], "homes": ["household", "furniture", "machinery"]}
-COMBO, YEAR = "1-URGENT", 2000
+#: Known elsewhere by these names; looked for in the segment alone; ruled out by words of the segment.
+CALLED, SEGMENT_ONLY, NEVER = {"engines": "machines"}, ["homes"], {"machines": ["auto"]}
+ASKED_INTERESTS = ["Engines", " homes ", "homes"]
+COMBO = "1-URGENT"
+FORECAST_KEYS = ["nation", "segment", "combo"]
+SOURCE = "mean_of_history"
 
 
-def _options(spark, sf_dir):
-    df = ops.prior_stats(series(spark, sf_dir).where(F.col("combo") == COMBO), KEYS).where(F.col("year") == YEAR)
-    customer = table(spark, sf_dir, "customer")
-    pay = customer.where("c_nationkey % 5 > 0").groupBy(F.col("c_nationkey").alias("nation")).agg((F.avg("c_acctbal") / 300).alias("salary"))
-    demand = customer.where("c_mktsegment <> 'BUILDING'").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).cast("double").alias("postings"))
-    name = F.lower("segment")
-    hits = [F.when(fn.contains_any(name, words), 1.0).otherwise(0.0) for words in INTERESTS.values()]
-    return df.join(pay, "nation", "left").join(demand, "segment", "left").select(
-        "nation",
-        "segment",
-        F.col("target").alias("cutoff"),
-        F.when((F.col("prior_count") >= 2) & (F.col("nation") % 3 > 0), (F.col("prior_mean") + F.col("target")) / 2).alias("predicted"),
-        (F.col("nation") % 10 == 4).alias("is_scale_40"),
-        (F.col("nation") % 7 == 3).alias("ambiguous"),
-        F.col("prior_count").alias("years_observed"),
-        F.col("prior_std").alias("std"),
-        "salary",
-        "postings",
-        (sum(hits[1:], hits[0]) / len(hits)).alias("fit"),
-    )
+def forecast_features(spark, sf_dir):
+    """Features of the year after the last, of every series of the last year; stored once a data set and version."""
 
+    def build():
+        base = series(spark, sf_dir)
+        every = ops.future_rows(base, KEYS)
+        df = ops.prior_stats(ops.lag_features(every, KEYS), KEYS)
+        df = ops.prior_group_history(df, ["combo"], "of_combo", base=every)
+        last = base.agg(F.max("year").alias("last_year"))
+        new = df.join(F.broadcast(last), F.col("year") > F.col("last_year"))  # one row
+        return new.drop("last_year", "target").withColumns({"forecast_year": F.col("year"), "nation_text": F.col("nation").cast("string")})
 
-def _scored_sql(user_score: float, interested: bool, name: str) -> str:
-    hits = " + ".join("CASE WHEN " + " OR ".join(f"contains(lower(segment), '{w}')" for w in ws) + " THEN 1.0 ELSE 0.0 END" for ws in INTERESTS.values())
+    name = f"forecast-features-{FEATURES_VERSION}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return read_or_build(spark, f"{shared_dir(spark)}/{name}", build)
+
+
+FEATURES_VERSION = "2"
+
+
+def mean_of_history(features: DataFrame) -> DataFrame:
+    """A forecast that needs no training: the mean of what was seen before the year to come."""
+    seen = F.round(clip(F.col("prior_mean"), 0.0, 30.0), 2)
+    return features.withColumns({"predicted": F.when(F.col("prior_count") > 0, seen), "model_version": F.lit(SOURCE), "is_cold_start": F.col("prior_count") == 1})
+
+
+def _options(spark, sf_dir, predict=mean_of_history, source=SOURCE):
+    """The last year's options of one combination, with forecasts for the year after it."""
+    df = ops.prior_stats(series(spark, sf_dir).where(F.col("combo") == COMBO), KEYS)
+    last = df.agg(F.max("year").alias("last_year"))
+    df = df.join(F.broadcast(last), F.col("year") == F.col("last_year"))  # one row
+    customer = table(spark, sf_dir, "customer")
+    pay = customer.where("c_nationkey % 5 > 0").groupBy(F.col("c_nationkey").alias("nation_id")).agg((F.avg("c_acctbal") / 300).alias("salary"))
+    demand = customer.where("c_mktsegment <> 'BUILDING'").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).cast("double").alias("postings"))
+    key = F.col("nation").cast("string")  # codes come with spaces, and some that no series has
+    df = df.withColumn("nation_id", F.col("nation")).withColumn("nation", F.when(key.endswith("5"), F.concat(F.lit("X"), key)).otherwise(F.concat(F.lit(" "), key, F.lit(" "))))
+    df = df.join(pay, "nation_id", "left").join(demand, "segment", "left")
+    df = forecasts.attach(df, forecast_features(spark, sf_dir), FORECAST_KEYS, predict, source, [F.col("nation")])
+    fit = interests.fit(F.col("segment"), F.lit("sold in homes_and machinery"), ASKED_INTERESTS, INTERESTS, SEGMENT_ONLY, NEVER, CALLED)
+    return df.select(
+        F.col("nation_id").alias("nation"), "segment", F.col("target").alias("cutoff"), "predicted", "forecast_source", "forecast_year", "model_version", "is_cold_start",
+        (F.col("nation_id") % 10 == 4).alias("is_scale_40"), (F.col("nation_id") % 7 == 3).alias("ambiguous"),
+        F.col("prior_count").alias("years_observed"), F.col("prior_std").alias("std"), "salary", "postings", fit.alias("fit"),
+    )
+
+
+OPTIONS_SQL = f"""last AS (SELECT max(year) AS y FROM series WHERE combo = '{COMBO}'), final AS (SELECT max(year) AS y FROM series),
+  guess AS (SELECT nation, segment, combo, round(greatest(0, least(30, avg(target))), 2) AS predicted, count(*) = 1 AS is_cold_start FROM series GROUP BY ALL HAVING max(year) = (SELECT y FROM final)),
+  opts AS (
+    SELECT p.nation, p.segment, p.target AS cutoff, g.predicted, CASE WHEN g.predicted IS NULL THEN '{forecasts.FALLBACK}' ELSE '{SOURCE}' END AS forecast_source,
+      CASE WHEN g.predicted IS NOT NULL THEN final.y + 1 END AS forecast_year, g.is_cold_start, p.nation % 7 = 3 AS ambiguous, prior_count, prior_std, salary, postings,
+      ((1 - CASE WHEN contains(lower(p.segment), 'auto') THEN 1 ELSE 0 END) + CASE WHEN regexp_matches(lower(p.segment), 'household|furniture|machinery') THEN 1 ELSE 0 END) / 2.0 AS fit
+    FROM prior p JOIN last ON p.year = last.y CROSS JOIN final
+    LEFT JOIN (SELECT c_nationkey AS nation, avg(c_acctbal) / 300 AS salary FROM customer WHERE c_nationkey % 5 > 0 GROUP BY 1) USING (nation)
+    LEFT JOIN (SELECT c_mktsegment AS segment, count(*)::DOUBLE AS postings FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1) USING (segment)
+    LEFT JOIN guess g ON g.nation = p.nation AND g.segment = p.segment AND g.combo = p.combo AND p.nation % 10 <> 5
+    WHERE p.combo = '{COMBO}' AND p.nation % 10 <> 4)"""
+
+
+def _scored_sql(user_scores, interested: bool, name: str = "scored") -> str:
     w = INTERESTED if interested else PLAIN
-    return f"""{name}_o AS (
-      SELECT nation, segment, target AS cutoff, CASE WHEN prior_count >= 2 AND nation % 3 > 0 THEN (prior_mean + target) / 2 END AS predicted, nation % 7 = 3 AS ambiguous, prior_count, prior_std,
-        ({hits}) / {len(INTERESTS)} AS fit, greatest(5.0, coalesce(salary, 15.0)) AS salary, greatest(10.0, coalesce(postings, 500.0)) AS postings
-      FROM prior LEFT JOIN (SELECT c_nationkey AS nation, avg(c_acctbal) / 300 AS salary FROM customer WHERE c_nationkey % 5 > 0 GROUP BY 1) USING (nation)
-        LEFT JOIN (SELECT c_mktsegment AS segment, count(*)::DOUBLE AS postings FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1) USING (segment)
-      WHERE combo = '{COMBO}' AND year = {YEAR} AND nation % 10 <> 4
-    ), {name}_f AS (SELECT *, round({user_score} - coalesce(predicted, cutoff), 2) AS gap FROM {name}_o WHERE round({user_score} - coalesce(predicted, cutoff), 2) >= -3{" AND fit > 0" * interested}
-    ), {name}_q AS (SELECT quantile_cont(salary, 0.05) AS s5, quantile_cont(salary, 0.95) AS s95, quantile_cont(postings, 0.05) AS d5, quantile_cont(postings, 0.95) AS d95 FROM {name}_f
-    ), {name} AS (SELECT nation, segment, coalesce(predicted, cutoff) AS ranking_cutoff, gap, CASE WHEN gap >= 1 THEN 'safe' WHEN gap >= -1 THEN 'match' ELSE 'reach' END AS bucket,
+    scores = ", ".join(f"({s}::DOUBLE)" for s in user_scores)
+    return f"""{OPTIONS_SQL}, {name}_f AS (SELECT * FROM (SELECT u.user_score, opts.* REPLACE (greatest(5.0, coalesce(salary, 15.0)) AS salary, greatest(10.0, coalesce(postings, 500.0)) AS postings),
+        coalesce(predicted, cutoff) AS ranking_cutoff, round(user_score - coalesce(predicted, cutoff), 2) AS gap FROM opts, (VALUES {scores}) u(user_score)) WHERE gap >= -3{" AND fit > 0" * interested}
+    ), {name}_q AS (SELECT user_score, quantile_cont(salary, 0.05) AS s5, quantile_cont(salary, 0.95) AS s95, quantile_cont(postings, 0.05) AS d5, quantile_cont(postings, 0.95) AS d95 FROM {name}_f GROUP BY 1
+    ), {name} AS (SELECT {name}_f.*, CASE WHEN gap >= 1 THEN 'safe' WHEN gap >= -1 THEN 'match' ELSE 'reach' END AS bucket,
       round(100 * ({w[0]} * greatest(0.05, least(1, (gap + 3) / 4)) + {w[1]} * fit
         + {w[2]} * CASE WHEN s95 <= s5 THEN 0.5 ELSE greatest(0, least(1, (salary - s5) / (s95 - s5))) END
         + {w[3]} * CASE WHEN d95 <= d5 THEN 0.5 ELSE greatest(0, least(1, (postings - d5) / (d95 - d5))) END
-        + {w[4]} * CASE WHEN prior_count >= 2 AND prior_std IS NOT NULL AND NOT ambiguous THEN 1 / (1 + prior_std) ELSE 0.5 END), 1) AS score FROM {name}_f, {name}_q)"""
+        + {w[4]} * CASE WHEN prior_count >= 2 AND prior_std IS NOT NULL AND NOT ambiguous THEN 1 / (1 + prior_std) ELSE 0.5 END), 1) AS score FROM {name}_f JOIN {name}_q USING (user_score))"""
 
 
 def _top_sql(user_score: float, interested: bool) -> str:
-    return f"""WITH {PRIOR}, {_scored_sql(user_score, interested, "scored")} SELECT bucket, nation, segment, round(ranking_cutoff, 4) AS ranking_cutoff, gap, score,
+    return f"""WITH {PRIOR}, {_scored_sql([user_score], interested)} SELECT bucket, nation, segment, round(ranking_cutoff, 4) AS ranking_cutoff, gap, score,
       row_number() OVER (PARTITION BY bucket ORDER BY score DESC, abs(gap), nation, segment)::INT AS rank FROM scored QUALIFY rank <= 15"""
 
 
+def best():
+    """Order of options: score, then the smaller gap."""
+    return [F.desc("score"), F.abs(F.col("gap")), F.col("nation"), F.col("segment")]
+
+
 def _top(spark, sf_dir, interested):
     df = recommend(_options(spark, sf_dir), 12.5, interested).select("bucket", "nation", "segment", F.round("ranking_cutoff", 4).alias("ranking_cutoff"), "gap", "score")
-    return top_per_group(df, ["bucket"], [F.desc("score"), F.abs(F.col("gap")), F.col("nation"), F.col("segment")], 15)
+    return top_per_group(df, ["bucket"], best(), 15)
 
 
 @query(_top_sql(12.5, False))
@@ -119,25 +171,90 @@ def recommend_by_forecast(spark, sf_dir):
 
 @query(_top_sql(12.5, True))
 def recommend_by_interests(spark, sf_dir):
+    """Only options that meet an interest, under other weights."""
     return _top(spark, sf_dir, True)
 
 
 SCORES = (12.5, 1.0, 30.0)
 
 
-@query(f"WITH {PRIOR}, " + ", ".join(_scored_sql(s, False, f"r{k}") for k, s in enumerate(SCORES)) + " " + " UNION ALL ".join(
-    f"SELECT {s}::DOUBLE AS user_score, count(*) FILTER (WHERE bucket = 'safe') AS safe, count(*) FILTER (WHERE bucket = 'match') AS match, count(*) FILTER (WHERE bucket = 'reach') AS reach, count(*) AS total, CASE WHEN count(*) = 0 THEN '{NOTHING_FOUND}' END AS message FROM r{k}"
-    for k, s in enumerate(SCORES)
-))
+@query(f"""WITH {PRIOR}, {_scored_sql(SCORES, False)} SELECT user_score, count(*) FILTER (WHERE bucket = 'safe') AS safe, count(*) FILTER (WHERE bucket = 'match') AS match, count(*) FILTER (WHERE bucket = 'reach') AS reach,
+  count(bucket) AS total, CASE WHEN count(bucket) = 0 THEN '{NOTHING_FOUND}' END AS message FROM (VALUES {", ".join(f"({s}::DOUBLE)" for s in SCORES)}) u(user_score) LEFT JOIN scored USING (user_score) GROUP BY 1""")
 def recommend_counts(spark, sf_dir):
     """Counts of the buckets for several scores; where nothing is found, a message instead of rows."""
-    options, out = _options(spark, sf_dir), None
-    for s in SCORES:
-        one = response(recommend(options, s, False), s)
-        out = one if out is None else out.unionByName(one)
+    return response(recommend_all(_options(spark, sf_dir), list(SCORES), False), list(SCORES))
+
+
+@query(f"""WITH {PRIOR}, {OPTIONS_SQL} SELECT nation, segment, round(cutoff, 4) AS cutoff, predicted, forecast_source, forecast_year::INT AS forecast_year,
+  CASE WHEN predicted IS NOT NULL THEN '{SOURCE}' END AS model_version, CASE WHEN predicted IS NOT NULL THEN is_cold_start END AS is_cold_start, fit::DOUBLE AS fit FROM opts""")
+def forecast_attach_fallback(spark, sf_dir):
+    """Options with the forecast of the stored feature table by three trimmed keys, or what was seen, labelled."""
+    df = _options(spark, sf_dir).where(~F.col("is_scale_40"))
+    return df.select("nation", "segment", F.round("cutoff", 4).alias("cutoff"), "predicted", "forecast_source", F.col("forecast_year").cast("int").alias("forecast_year"), "model_version", "is_cold_start", "fit")
+
+
+# What is said where no market data are known, and the mean of a subject that is not known.
+NO_MARKET, MEAN_UNKNOWN = "not enough verified market data", 6.5
+
+
+def answer(scored: DataFrame, user_scores: list[float], own: DataFrame, nation: DataFrame) -> DataFrame:
+    """The whole answer to each score as rows (user_score, section, place, item, amount, label).
+
+    Sections: safe, match and reach (up to 15 options each), top (five over all buckets, labelled
+    with the forecast's source), prediction (of the first of those), career (its market, or that
+    none is known), count (of each bucket) and deviation (own scores, user_score, subject and
+    score, from the nation's means).
+    """
+    option = F.concat_ws("/", "nation", "segment")
+    row = lambda section, place, item, amount, label: [section.alias("section"), place.cast("int").alias("place"), item.alias("item"), amount.cast("double").alias("amount"), label.alias("label")]
+    scored = store(scored, "scored")
+    listed = top_per_group(scored, ["user_score", "bucket"], best(), 15)
+    buckets = listed.select("user_score", *row(F.col("bucket"), F.col("rank"), option, F.col("score"), F.col("forecast_source")))
+    five = top_per_group(scored, ["user_score"], best(), 5)
+    top = five.select("user_score", *row(F.lit("top"), F.col("rank"), option, F.round("ranking_cutoff", 2), F.col("forecast_source")))
+    first = five.where("rank = 1")
+    said = F.concat(F.lit("about "), F.format_string("%.1f", "market_salary"), F.lit(" a month, "), F.col("market_postings").cast("bigint").cast("string"), F.lit(" postings"))
+    prediction = first.select("user_score", *row(F.lit("prediction"), F.lit(1), option, F.round("gap", 2), F.coalesce("model_version", "forecast_source")))
+    career = first.select("user_score", *row(F.lit("career"), F.lit(1), option, F.col("market_salary"), F.when(F.col("market_salary").isNotNull() & F.col("market_postings").isNotNull(), said).otherwise(NO_MARKET)))
+    counts = response(scored, user_scores).unpivot(["user_score", "message"], ["safe", "match", "reach"], "item", "amount")
+    counts = counts.select("user_score", *row(F.lit("count"), F.lit(None), F.col("item"), F.col("amount"), F.col("message")))
+    own = own.join(nation, "subject", "left")
+    apart = F.round(F.col("own") - F.coalesce("mean", F.lit(MEAN_UNKNOWN)), 2)
+    sign = F.concat(F.when(apart >= 0, "+").otherwise(""), F.format_string("%.2f", apart))
+    deviation = own.select("user_score", *row(F.lit("deviation"), F.lit(None), F.col("subject"), apart, sign))
+    out = buckets
+    for part in (top, prediction, career, counts, deviation):
+        out = out.unionByName(part)
     return out
 
 
+def _answer(spark, sf_dir, predict=mean_of_history, source=SOURCE):
+    options = _options(spark, sf_dir, predict, source).withColumns({"market_salary": F.col("salary"), "market_postings": F.col("postings")})
+    events = table(spark, sf_dir, "events")
+    nation = events.where("event_type <> 'click'").groupBy(F.col("event_type").alias("subject")).agg(F.avg("value").alias("mean"))
+    own = events.where("user_id = 7").groupBy(F.col("event_type").alias("subject")).agg(F.max("value").alias("own"))
+    own = own.withColumn("user_score", F.explode(F.array(*map(F.lit, SCORES))))
+    return answer(recommend_all(options, list(SCORES), True), list(SCORES), own, nation)
+
+
+@query(f"""WITH {PRIOR}, {_scored_sql(SCORES, True)}, market AS (SELECT nation, segment, salary AS market_salary, postings AS market_postings FROM opts),
+  ranked AS (SELECT s.*, m.market_salary, m.market_postings, nation || '/' || segment AS item, row_number() OVER (PARTITION BY user_score, bucket ORDER BY score DESC, abs(gap), nation, segment)::INT AS in_bucket,
+    row_number() OVER (PARTITION BY user_score ORDER BY score DESC, abs(gap), nation, segment)::INT AS place FROM scored s JOIN market m USING (nation, segment)),
+  means AS (SELECT event_type AS subject, avg(value) AS mean FROM events WHERE event_type <> 'click' GROUP BY 1),
+  own AS (SELECT event_type AS subject, max(value) AS own FROM events WHERE user_id = 7 GROUP BY 1), asked(user_score) AS (VALUES {", ".join(f"({s}::DOUBLE)" for s in SCORES)}),
+  dev AS (SELECT user_score, subject, round(own - coalesce(mean, {MEAN_UNKNOWN}), 2) AS d FROM own LEFT JOIN means USING (subject), asked)
+  SELECT user_score, bucket AS section, in_bucket AS place, item, score AS amount, forecast_source AS label FROM ranked WHERE in_bucket <= 15
+  UNION ALL SELECT user_score, 'top', place, item, round(ranking_cutoff, 2), forecast_source FROM ranked WHERE place <= 5
+  UNION ALL SELECT user_score, 'prediction', 1, item, gap, CASE WHEN predicted IS NULL THEN forecast_source ELSE '{SOURCE}' END FROM ranked WHERE place = 1
+  UNION ALL SELECT user_score, 'career', 1, item, market_salary, coalesce('about ' || format('{{:.1f}}', market_salary) || ' a month, ' || market_postings::BIGINT || ' postings', '{NO_MARKET}') FROM ranked WHERE place = 1
+  UNION ALL SELECT user_score, 'count', NULL, b, (SELECT count(*) FROM scored s WHERE s.user_score = asked.user_score AND s.bucket = b)::DOUBLE,
+    CASE WHEN (SELECT count(*) FROM scored s WHERE s.user_score = asked.user_score) = 0 THEN '{NOTHING_FOUND}' END FROM asked, (VALUES ('safe'), ('match'), ('reach')) x(b)
+  UNION ALL SELECT user_score, 'deviation', NULL, subject, d, CASE WHEN d >= 0 THEN '+' ELSE '' END || format('{{:.2f}}', d) FROM dev""")
+def recommend_answer(spark, sf_dir):
+    """Buckets, top five, prediction, market, counts and deviations of several scores in one table."""
+    return _answer(spark, sf_dir)
+
+
 #: Pages beyond are taken as this one, which is empty: positions fit in 64 bits.
 LAST_PAGE = 10**16
 #: A page that ends within so many rows is found as a top-k, a later one by numbering all rows.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from ..operators import catalogue as catalogues
 from ..operators import lookup as ops
+from ..operators.quantiles import with_quantiles
 from .registry import query, table
 from .series import EXAMS
 
@@ -59,14 +60,15 @@ def national_weighted_mean(spark, sf_dir):
   round(median(CASE WHEN p_size > 10 THEN p_retailprice END), 4) AS median_salary, sum(CASE WHEN p_size > 40 THEN 1 ELSE 0 END)::BIGINT AS needing_review,
   CASE WHEN count(*) >= 340 THEN 'very high' WHEN count(*) >= 330 THEN 'high' WHEN count(*) >= 320 THEN 'medium' ELSE 'low' END AS demand FROM part GROUP BY 1""")
 def job_market_summary(spark, sf_dir):
-    pay = F.when(F.col("p_size") > 10, F.col("p_retailprice"))
-    df = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category")).agg(
+    pay = F.when(F.col("p_size") > 10, F.col("p_retailprice")).alias("pay")
+    postings = table(spark, sf_dir, "part").select(F.col("p_type").alias("category"), pay, "p_size")
+    df = postings.groupBy("category").agg(
         F.count(F.lit(1)).alias("posting_count"),
-        F.count(pay).alias("salary_count"),
-        F.round(F.avg(pay), 4).alias("mean_salary"),
-        F.round(F.median(pay), 4).alias("median_salary"),
+        F.count("pay").alias("salary_count"),
+        F.round(F.avg("pay"), 4).alias("mean_salary"),
         F.count_if(F.col("p_size") > 40).alias("needing_review"),
     )
+    df = with_quantiles(df, ["category"], ["pay"], [0.5], postings).withColumn("median_salary", F.round(F.col("q_pay")[0], 4)).drop("q_pay")
     return df.withColumn("demand", exprs.label_by_thresholds(F.col("posting_count"), [(340, "very high"), (330, "high"), (320, "medium")], "low", "unknown"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import regression as ml
 from ..operators import series as ops
+from . import choices
 from .registry import query
 from .series import KEYS, PARTS, series, split
 
@@ -93,6 +94,17 @@ def model_importances(spark, sf_dir):
     return spark.createDataFrame([(i, *p) for i, p in enumerate(top, 1)], "place int, feature string, importance double")
 
 
+@query()
+def recommend_answer_trained(spark, sf_dir):
+    """recommend_answer with the selected model's forecasts."""
+    chosen = trained(spark, sf_dir).model
+
+    def predict(features):
+        return ml.score(chosen, features, [*NUMERIC, *CATEGORICAL], VERSION, aliases={}, count="prior_count")
+
+    return choices._answer(spark, sf_dir, predict, VERSION)
+
+
 @query()
 def forecast_scores(spark, sf_dir):
     """Next year's rows scored by the selected model under the scoring contract."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import series as ops
+from ..operators.quantiles import with_quantiles
 from .registry import query, table
 
 KEYS = ["nation", "segment", "combo"]
@@ -257,19 +258,20 @@ def series_span(spark, sf_dir):
   FROM customer JOIN bounds USING (c_mktsegment)""")
 def iqr_outliers_by_group(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
-    bounds = df.groupBy("c_mktsegment").agg(F.percentile("c_acctbal", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q1, q3 = F.col("q")[0], F.col("q")[1]
+    q1, q3 = F.col("q_c_acctbal")[0], F.col("q_c_acctbal")[1]
     wide = (q3 - q1) * 0.5
     outlier = (F.col("c_acctbal") < q1 - wide) | (F.col("c_acctbal") > q3 + wide)
-    return df.join(bounds, "c_mktsegment").select("c_custkey", "c_mktsegment", outlier.alias("outlier"))
+    return with_quantiles(df, ["c_mktsegment"], ["c_acctbal"], [0.25, 0.75]).select("c_custkey", "c_mktsegment", outlier.alias("outlier"))
 
 
 @query("""SELECT year(o_orderdate)::INT AS year, count(o_totalprice) AS n, round(min(o_totalprice), 4) AS least, round(avg(o_totalprice), 4) AS mean,
   round(median(o_totalprice), 4) AS median, round(max(o_totalprice), 4) AS most FROM orders GROUP BY GROUPING SETS ((year(o_orderdate)::INT), ())""")
 def stats_overall_and_by_year(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
-    aggs = [F.count("o_totalprice").alias("n"), *[F.round(f, 4).alias(n) for f, n in ((F.min("o_totalprice"), "least"), (F.avg("o_totalprice"), "mean"), (F.median("o_totalprice"), "median"), (F.max("o_totalprice"), "most"))]]
-    return df.groupingSets([["year"], []], "year").agg(*aggs)
+    df = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), "o_totalprice")
+    aggs = [F.count("o_totalprice").alias("n"), *[F.round(f("o_totalprice"), 4).alias(n) for f, n in ((F.min, "least"), (F.avg, "mean"), (F.max, "most"))]]
+    each = with_quantiles(df.groupBy("year").agg(*aggs), ["year"], ["o_totalprice"], [0.5], df)
+    whole = with_quantiles(df.agg(F.lit(None).cast("int").alias("year"), *aggs), [], ["o_totalprice"], [0.5], df)
+    return each.unionByName(whole).withColumn("median", F.round(F.col("q_o_totalprice")[0], 4)).drop("q_o_totalprice")
 
 
 EXAMS = """exams AS (

@@ -9,6 +9,7 @@ from ..functions import text as fn
 from ..functions.exprs import clip, scale_quantiles
 from ..operators import series as ops
 from ..operators.lookup import top_per_group
+from ..operators.quantiles import with_quantiles
 from .registry import query, table
 from .series import KEYS, PRIOR, series
 
@@ -36,12 +37,10 @@ def recommend(options: DataFrame, user_score: float) -> DataFrame:
     The quantiles are one row over the filtered candidates, so a score is relative to the request.
     """
     df = options.withColumn("gap", F.lit(user_score) - F.col("cutoff")).where("gap >= -3")
-    both = F.array(F.lit(0.05), F.lit(0.95))
-    q = df.agg(F.percentile("salary", both).alias("qs"), F.percentile("postings", both).alias("qd"))
-    df = df.crossJoin(F.broadcast(q))
+    df = with_quantiles(df, [], ["salary", "postings"], [0.05, 0.95])
     fit = clip((F.col("gap") + 3) / 4, 0.05, 1.0)
-    pay = scale_quantiles(F.col("salary"), F.col("qs")[0], F.col("qs")[1])
-    need = scale_quantiles(F.col("postings"), F.col("qd")[0], F.col("qd")[1])
+    pay = scale_quantiles(F.col("salary"), F.col("q_salary")[0], F.col("q_salary")[1])
+    need = scale_quantiles(F.col("postings"), F.col("q_postings")[0], F.col("q_postings")[1])
     stable = F.when((F.col("prior_count") >= 2) & F.col("prior_std").isNotNull(), 1 / (1 + F.col("prior_std"))).otherwise(0.5)
     bucket = F.when(F.col("gap") >= 1, "safe").when(F.col("gap") >= -1, "match").otherwise("reach")
     return df.select("nation", "segment", "cutoff", "gap", bucket.alias("bucket"), (100 * (0.40 * fit + 0.25 * pay + 0.20 * need + 0.15 * stable)).alias("score"))

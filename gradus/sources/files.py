@@ -12,15 +12,25 @@ from pyspark.sql.types import StringType, StructField, StructType
 BAD = "_corrupt_record"
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that executors share; a temporary one if none is named."""
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that executors share; a temporary one of the application if none is named on one machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        master = spark.sparkContext.master
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='gradus-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if app not in _OWN:
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='gradus-')}"
+        base = _OWN[app]
+    return base.rstrip("/")
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -80,10 +90,18 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_or_build(spark: SparkSession, path: str, build) -> DataFrame:
-    """A stored result if it exists, else built, stored and read."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        build().write.parquet(path)
+    """A stored result if a whole one exists, else built, stored and read.
+
+    It is written beside its place and moved there when it is whole; of several builders at
+    once the first to move stays.
+    """
+    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at(f"{path}/_SUCCESS")):
+        part = f"{path}-{uuid.uuid4().hex}"
+        build().write.parquet(part)
+        if not files.rename(at(part), at(path)) or not files.exists(at(f"{path}/_SUCCESS")):
+            files.delete(at(part), True)
     return spark.read.parquet(path)
 
 

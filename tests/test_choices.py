@@ -93,9 +93,9 @@ def test_recommendation(spark):
     got = {r.nation: r for r in choices.recommend(df, 22.0, True).collect()}
     assert got.keys() == {2, 6}  # only those that meet an interest
     assert got[2].score == pytest.approx(100 * (0.35 + 0.20 + 0.20 * 0.5 + 0.15 * 0.5 + 0.10 * 0.5), abs=0.06)
-    none = choices.response(choices.recommend(df, 0.0, False), 0.0).first()
+    none = choices.response(choices.recommend(df, 0.0, False), [0.0]).first()
     assert (none.total, none.safe, none.message) == (0, 0, choices.NOTHING_FOUND)
-    assert choices.response(choices.recommend(df, 22.0, False), 22.0).first().message is None
+    assert choices.response(choices.recommend(df, 22.0, False), [22.0]).first().message is None
 
 
 def test_first_level_that_exists_wins(spark):
