@@ -14,13 +14,15 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles_of
+
 MISSING, RARE = "__MISSING__", "__RARE__"
 #: Levels with fewer rows at the fit share one column; levels unknown at the fit have none.
 MIN_FREQUENCY = 10
 LOW, HIGH = 0.0, 30.0
 SEED = 42
-#: Boosting rounds at most, and the least relative gain on the validation rows that goes on.
-ROUNDS, TOLERANCE = 60, 0.001
+# Boosting rounds at most, and rounds without a smaller error after which it stops.
+ROUNDS, PATIENCE = 2500, 75
 #: The candidates' names, families and parameters.
 CANDIDATES = (
     ("ridge_alpha_1", "ridge", {"alpha": 1.0}),
@@ -70,15 +72,12 @@ def prepare(fit: DataFrame, numeric: list[str], categorical: list[str], scale: b
     ValueError.
     """
     real = {c: F.col(c).cast("double") for c in numeric}
-    found = fit.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.percentile(v, F.lit(0.5)).alias(f"median_{i}") for i, v in enumerate(real.values())],
-        *[F.count(v).alias(f"known_{i}") for i, v in enumerate(real.values())],
-    ).first()
+    found = fit.agg(F.count(F.lit(1)).alias("rows"), *[F.count(v).alias(f"known_{i}") for i, v in enumerate(real.values())]).first()
     n = found["rows"]
     if not n:
         raise ValueError("No rows to learn from.")
-    medians = [float(found[f"median_{i}"] or 0.0) for i in range(len(numeric))]
+    middle = quantiles_of(fit, [], numeric, [0.5]).first() if numeric else None
+    medians = [float((middle and middle[f"q_{c}"] or [0.0])[0]) for c in numeric]
     lost = [i for i in range(len(numeric)) if found[f"known_{i}"] < n]
     spread = [1.0] * len(numeric)
     if scale and numeric:
@@ -118,23 +117,50 @@ def size(df: DataFrame, target: str = "target") -> tuple[int, float]:
     return row[0], row[1] or 1.0
 
 
-def estimator(family: str, params: dict, rows: tuple[int, float], target: str = "target", rounds: int | None = None, held: str | None = None):
+def estimator(family: str, params: dict, rows: tuple[int, float], target: str = "target", rounds: int = ROUNDS):
     """An unfitted model; rows: the `size` of what it will be fitted on.
 
     Ridge adds alpha times the squared weights to the sum of squared errors. Spark averages the
     errors and measures them in deviations of the target, hence the factor.
     """
     base = {"featuresCol": "features", "labelCol": target, "predictionCol": "prediction"}
-    if family in ("ols", "ridge"):
+    if family == "ridge":
         return LinearRegression(**base, regParam=params.get("alpha", 0.0) * rows[1] / rows[0], standardization=False, solver="auto")
     if family == "forest":
         return RandomForestRegressor(**base, **params, seed=SEED)
     if family == "boosted":
-        stop = {"validationIndicatorCol": held, "validationTol": TOLERANCE} if held else {}
-        return GBTRegressor(**base, **params, **stop, maxIter=rounds or ROUNDS, seed=SEED)
+        return GBTRegressor(**base, **params, maxIter=rounds, seed=SEED)
     raise ValueError(f"Unknown family: {family}")
 
 
+def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
+    """(rounds up to the least error before the wait ends, whether it ended) along a curve of errors by round."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def patient(params: dict, rows: tuple[int, float], learn: DataFrame, held: DataFrame, most: int = ROUNDS, patience: int = PATIENCE):
+    """(boosted model, rounds): as many rounds as give the least absolute error on held.
+
+    It stops once the error hasn't fallen for patience rounds, at most rounds in all. The trees
+    of fewer rounds are the first ones of more, so a fit that the wait outlives is done again
+    with twice the rounds: work is at most about twice that of the last fit.
+    """
+    rounds = min(most, 2 * patience + 2)
+    while True:
+        model = estimator("boosted", params, rows, rounds=rounds).fit(learn)
+        best, ended = best_round(model.evaluateEachIteration(held, "absolute"), patience)
+        if ended or rounds >= most:
+            break
+        rounds = min(most, 2 * rounds)
+    return (model if best == rounds else estimator("boosted", params, rows, rounds=best).fit(learn)), best
+
+
 def clipped(df: DataFrame, low: float = LOW, high: float = HIGH, digits: int | None = 2) -> DataFrame:
     value = F.greatest(F.lit(low), F.least(F.lit(high), F.col("prediction")))
     return df.withColumn("prediction", value if digits is None else F.bround(value, digits))
@@ -153,13 +179,13 @@ def segment_metrics(df: DataFrame, cold: str, target: str = "target", guess: str
     return sorted((r.asDict() for r in rows.collect()), key=lambda r: r["part"])
 
 
-def train(df: DataFrame, numeric: list[str], categorical: list[str], cold: str, group: str, history: str, hybrid: str, strict: bool = True, candidates=CANDIDATES, most: int = ROUNDS) -> Trained:
+def train(df: DataFrame, numeric: list[str], categorical: list[str], cold: str, group: str, history: str, hybrid: str, strict: bool = True, candidates=CANDIDATES, most: int = ROUNDS, patience: int = PATIENCE) -> Trained:
     """Fit on split 'train', choose by MAE on 'validation', refit on both, test once, judge.
 
     df: the features, `target`, `split`, the boolean column cold, a column to group the test by, and
-    the two baseline guesses that the gate compares with. Boosting stops by the validation
-    rows, at most at the given rounds; the refit takes the number found. strict: raise RuntimeError if no
-    candidate beats the history's mean. Rows of no target are left out.
+    the two baseline guesses that the gate compares with. Boosting takes the rounds of least
+    absolute error on the validation rows, and so does the refit. strict: raise RuntimeError if
+    no candidate beats the history's mean. Rows of no target are left out.
     """
     df = df.where("target is not null")
     first, check = df.where("split = 'train'"), df.where("split = 'validation'")
@@ -173,10 +199,10 @@ def train(df: DataFrame, numeric: list[str], categorical: list[str], cold: str,
         try:
             learn, held = both.where("not held"), both.where("held")
             for name, family, params in wanted:
-                boosted = family == "boosted"
-                model = estimator(family, params, rows, rounds=most, held="held" if boosted else None).fit(both if boosted else learn)
-                if boosted:
-                    rounds[name] = model.getNumTrees
+                if family == "boosted":
+                    model, rounds[name] = patient(params, rows, learn, held, most, patience)
+                else:
+                    model = estimator(family, params, rows).fit(learn)
                 records += [{"name": name, "family": family, "rounds": rounds.get(name), **m} for m in segment_metrics(clipped(model.transform(held), digits=None), cold)]
         finally:
             both.unpersist()
@@ -190,14 +216,14 @@ def train(df: DataFrame, numeric: list[str], categorical: list[str], cold: str,
     name, family, params = next(c for c in candidates if c[0] == best["name"])
     known = df.where("split <> 'test'")  # the choice is made: the test rows are read below only
     ready = prepare(known, numeric, categorical, family == "ridge")
-    fitted = estimator(family, params, size(known), rounds=rounds.get(name)).fit(ready.model.transform(known).select("features", "target"))
+    fitted = estimator(family, params, size(known), rounds=rounds.get(name, most)).fit(ready.model.transform(known).select("features", "target"))
     model = PipelineModel([*ready.model.stages, fitted])
     tested = clipped(model.transform(df.where("split = 'test'")), digits=None).select("target", "prediction", cold, group, hybrid).persist()
     try:
         test = segment_metrics(tested, cold)
         gap = F.abs(F.col("target") - F.col("prediction"))
         groups = tested.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(gap).alias("mae")).orderBy(F.desc("n"), group).limit(TOP_GROUPS)
-        spread = groups.agg(F.percentile("mae", F.lit(0.5))).first()[0]
+        spread = groups.agg(F.percentile("mae", F.lit(0.5))).first()[0]  # of TOP_GROUPS rows
         hybrid_mae = tested.agg(F.avg(F.abs(F.col("target") - F.col(hybrid)))).first()[0]
     finally:
         tested.unpersist()

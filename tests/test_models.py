@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gradus.operators import least_squares
 from gradus.operators import regression as ml
 from gradus.plans import models, registry
 
@@ -50,21 +51,82 @@ def test_ridge_is_the_closed_form(rows, alpha):
     assert np.allclose(model.coefficients.toArray(), w, atol=1e-6)
 
 
+def plain_least_squares(rows, features, test):
+    """The original's form: medians, standard scores and missing flags, solved by NumPy."""
+    x = np.array([[np.nan if r[c] is None else r[c] for c in features] for r in rows], float)
+    known = [v[~np.isnan(v)] for v in x.T]
+    medians = np.array([np.median(v) if len(v) else 0.0 for v in known])
+    filled = np.where(np.isnan(x), medians, x)
+    means, scales = filled.mean(axis=0), filled.std(axis=0)
+    scales[scales == 0] = 1
+
+    def design(x):
+        return np.column_stack([np.ones(len(x)), (np.where(np.isnan(x), medians, x) - means) / scales, np.isnan(x).astype(float)])
+
+    beta, _, rank, _ = np.linalg.lstsq(design(x), np.array([r["target"] for r in rows]), rcond=1e-9)
+    return beta, rank, design(np.array([[np.nan if r[c] is None else r[c] for c in features] for r in test], float)) @ beta
+
+
+def test_least_squares_on_collinear_columns(spark):
+    draw = np.random.default_rng(11)
+    rows = []
+    for i in range(300):
+        a, b = float(draw.normal()), float(draw.normal(100, 5))
+        rows.append((a, b if i % 9 else None, 3 * a - 2.0, b if i % 9 else None, None, 4.0, 2 * a - b / 50 + float(draw.normal()), i))
+    names = ["a", "b", "c", "d", "none", "fixed"]
+    df = spark.createDataFrame([*rows, (1.0, 1.0, 1.0, 1.0, None, 1.0, None, 999)], ", ".join(f"{n} double" for n in [*names, "target"]) + ", id int").repartition(4)
+    model = least_squares.fit(df, names, "target")
+    plain = [dict(zip([*names, "target"], r, strict=False)) for r in rows]
+    beta, rank, want = plain_least_squares(plain, names, plain)
+    assert model.rank == rank < 1 + 2 * len(names) and model.rows == 300
+    assert np.allclose([model.intercept, *model.weights, *model.missing], beta, atol=1e-7)
+    got = {r.id: r.p for r in df.where("id < 999").select("id", model.predict().alias("p")).collect()}
+    assert np.allclose([got[i] for i in range(300)], want, atol=1e-7)
+    with pytest.raises(ValueError, match="No rows"):
+        least_squares.fit(df.where("id < 0"), names, "target")
+
+
 def test_least_squares_query_is_lstsq(spark):
     df = models.frame(spark, SF)
-    ready = ml.prepare(df.where("split = 'train'"), models.NUMERIC, [], scale=True)
-    x, y = arrays(ready, df.where("split = 'train'"))
-    beta = np.linalg.lstsq(np.column_stack([np.ones(len(y)), x - x.mean(axis=0)]), y, rcond=None)[0]
-    rest = ready.model.transform(df.where("split <> 'train'")).select(*models.KEYS, "year", "features").collect()
-    want = {tuple(r)[:4]: np.clip(beta[0] + (r.features.toArray() - x.mean(axis=0)) @ beta[1:], 0, 30) for r in rest}
+    rows, rest = ([r.asDict() for r in df.where(w).collect()] for w in ("split = 'train'", "split <> 'train'"))
+    _, _, want = plain_least_squares(rows, models.NUMERIC, rest)
     got = {(r.nation, r.segment, r.combo, r.year): r.prediction for r in registry.QUERIES["ols_baseline"](spark, SF).collect()}
-    assert got.keys() == want.keys() and got
-    assert all(abs(got[k] - want[k]) < 2e-4 for k in want)
+    keys = [(r["nation"], r["segment"], r["combo"], r["year"]) for r in rest]
+    assert got.keys() == set(keys) and got
+    assert all(abs(got[k] - min(30, max(0, w))) < 2e-4 for k, w in zip(keys, want, strict=True))
+
+
+def test_patience_follows_the_curve():
+    assert ml.best_round([3.0, 2.0, 2.5, 1.0, 1.1, 1.2, 0.5], 2) == (4, True)  # a later, lower error isn't waited for
+    assert ml.best_round([3.0, 2.0, 2.5, 1.0, 1.1, 1.2, 0.5], 3) == (7, False)
+    assert ml.best_round([1.0, 1.0, 1.0], 2) == (1, True) and ml.best_round([1.0], 75) == (1, False)
+
+
+def test_boosting_stops_by_absolute_error(rows):
+    ready = ml.prepare(rows, ["a", "b"], ["kind"])
+    ready_rows = lambda split: ready.model.transform(rows.where(F.col("split") == split)).select("features", "target").persist()
+    learn, held = ready_rows("train"), ready_rows("validation")
+    params = {"maxDepth": 3, "stepSize": 0.9, "subsamplingRate": 0.9}
+    model, best = ml.patient(params, ml.size(learn), learn, held, 40, 3)
+    longest = ml.estimator("boosted", params, ml.size(learn), rounds=16).fit(learn)
+    x, y = [r.features for r in held.collect()], np.array([r.target for r in held.collect()])
+    staged, curve = np.zeros(len(y)), []
+    for tree, weight in zip(longest.trees, longest.treeWeights, strict=True):  # one stage after the other
+        staged = staged + weight * np.array([tree.predict(v) for v in x])
+        curve.append(np.abs(y - staged).mean())
+    want = 0
+    for i, e in enumerate(curve):
+        if e < curve[want]:
+            want = i
+        elif i - want >= 3:
+            break
+    assert best == want + 1 == model.getNumTrees < 16
+    assert np.allclose([model.predict(v) for v in x], sum(w * np.array([t.predict(v) for v in x]) for t, w in zip(longest.trees[:best], longest.treeWeights[:best], strict=True)))
 
 
 def test_choice_refit_gate_and_importances(rows):
     light = ml.lighter(ml.CANDIDATES, 3, 3)
-    done = ml.train(rows, ["a", "b"], ["kind"], "cold", "kind", "base", "hybrid", candidates=[light[0], light[3], light[6]], most=3)
+    done = ml.train(rows, ["a", "b"], ["kind"], "cold", "kind", "base", "hybrid", candidates=[light[0], light[3], light[6]], most=3, patience=2)
     whole = {r["name"]: r["mae"] for r in done.records if r["part"] == "all"}
     assert done.selected == min(whole, key=whole.get) == "ridge_alpha_1"
     assert {r["part"]: r["n_rows"] for r in done.test} == {"all": 40, "cold_start": 8, "known_history": 32}
@@ -107,7 +169,7 @@ def test_aliases_fill_in_order(spark):
     assert [tuple(r) for r in got] == [("s", "m", 3.0, 3.0), (None, None, 1.0, 9.0)]
 
 
-@pytest.mark.parametrize("name", ["gbt_forecast", "model_selection_table", "model_acceptance", "model_importances", "forecast_scores", "ols_metrics_cube"])
+@pytest.mark.parametrize("name", ["gbt_forecast", "model_selection_table", "model_acceptance", "model_importances", "forecast_scores", "recommend_answer_trained"])
 def test_registered(spark, name):
     got = registry.QUERIES[name](spark, SF).collect()
     assert got

@@ -12,7 +12,7 @@ from gradus.plans import registry
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 registry.load()
-MODELS = {"gbt_forecast", "model_selection_table", "model_acceptance", "model_importances", "forecast_scores", "ols_metrics_cube"}  # in test_models.py
+MODELS = {"gbt_forecast", "model_selection_table", "model_acceptance", "model_importances", "forecast_scores", "recommend_answer_trained"}  # in test_models.py
 
 
 @pytest.fixture(scope="module")
