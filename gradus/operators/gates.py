@@ -49,3 +49,38 @@ def violations(df: DataFrame, column: str, kind: str) -> DataFrame:
 def distinct_join(column: str, sep: str = ";") -> Column:
     """Sorted distinct values of a group, joined; nulls left out."""
     return F.array_join(F.array_sort(F.collect_set(column)), sep)
+
+
+YES, NO = ["true", "1", "yes"], ["false", "0", "no"]
+
+
+def strictly(df: DataFrame, kinds: dict[str, str], source: str) -> DataFrame:
+    """Text columns parsed as their kinds; blank is null. A value of another form stops the job.
+
+    kinds: double, boolean (YES or NO, in any case) or another type's name. The error names the
+    source, the column and up to five such values of the batch that it was found in. Rows are
+    checked as they stream by: there is no pass of its own.
+    """
+    import pyarrow as pa
+
+    def parsed(name: str, kind: str) -> Column:
+        text = F.nullif(F.trim(F.col(name)), F.lit(""))
+        if kind == "boolean":
+            return F.when(F.lower(text).isin(YES), True).when(F.lower(text).isin(NO), False)
+        return text.try_cast(kind)
+
+    def wrong(name: str, kind: str) -> Column:
+        return F.when(F.nullif(F.trim(F.col(name)), F.lit("")).isNotNull() & parsed(name, kind).isNull(), F.col(name))
+
+    out = [parsed(c, kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns]
+    checked = df.select(*out, *[wrong(c, k).alias(f"__wrong_{i}") for i, (c, k) in enumerate(kinds.items())])
+
+    def run(batches):
+        for batch in batches:
+            for i, c in enumerate(kinds):
+                bad = batch.column(f"__wrong_{i}").drop_null()
+                if len(bad):
+                    raise ValueError(f"{source}: {c} has values that aren't {kinds[c]}: {bad.slice(0, 5).to_pylist()}")
+            yield pa.RecordBatch.from_arrays(batch.columns[: -len(kinds)], schema=pa.schema(list(batch.schema)[: -len(kinds)]))
+
+    return checked.mapInArrow(run, checked.drop(*[f"__wrong_{i}" for i in range(len(kinds))]).schema)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,9 +15,9 @@ from ..operators import forecasts, lookup, numbering
 from ..operators import series as ops
 from ..operators.lookup import top_per_group
 from ..operators.quantiles import with_quantiles
-from ..sources.files import read_or_build, shared_dir, store
+from ..sources.files import read_json, read_or_build, shared_dir, store, work_dir
 from .registry import query, table
-from .series import KEYS, PRIOR, series
+from .series import GUESSES, KEYS, METRICS, PRIOR, guesses, series
 
 # Weights of admission, interests, salary, demand and stability, without and with interests.
 PLAIN, INTERESTED = (0.40, 0.00, 0.25, 0.20, 0.15), (0.35, 0.20, 0.20, 0.15, 0.10)
@@ -404,16 +403,29 @@ def history_by_key_levels(spark, sf_dir):
     return lookup.recent_trend(wide, "cutoff", [f"s{y}" for y in YEARS]).select("o_orderkey", *[f"s{y}" for y in YEARS], "ambiguous", "years_observed", "avg_recent", "std_recent", "trend")
 
 
-CANDIDATES = [{"name": "ridge", "params": {"alpha": 1.0}, "mae": 1.5}, {"name": "forest", "params": {"trees": 180.0, "depth": 18.0}, "mae": 1.25}, {"name": "empty", "params": {}, "mae": None}]
-DEMAND = {"Brand#11": "high", "Brand#22": "low"}
+REPORT = "models struct<selected: string, validation: array<struct<name: string, segments: map<string, struct<n_rows: bigint, mae: double, rmse: double, r2: double>>>>>"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c['name']}', {c['mae'] or 'NULL'}::DOUBLE, {repr(k) if k else 'NULL'}, {v if k else 'NULL'}::DOUBLE)" for c in CANDIDATES for k, v in (c["params"].items() or [(None, None)])) + ") t(name, mae, param, amount)")
+@query(f"""WITH {GUESSES}, cubed AS (SELECT *, 'all' AS part FROM long UNION ALL SELECT *, 'known' FROM long WHERE prior_count > 0 UNION ALL SELECT *, 'cold' FROM long WHERE prior_count = 0),
+  m AS (SELECT model AS name, part, {METRICS} FROM cubed WHERE split = 'validation' GROUP BY ALL)
+  SELECT name, part, n_rows, mae, rmse, r2, name = (SELECT name FROM m WHERE part = 'all' AND coverage = 1 ORDER BY mae, name LIMIT 1) AS selected FROM m""")
 def candidate_table(spark, sf_dir):
-    """A report's list of candidates as a table, a row for each parameter."""
-    text = spark.range(1).select(F.lit(json.dumps(CANDIDATES)).alias("j"))
-    each = text.select(F.explode(F.from_json("j", "array<struct<name:string,params:map<string,double>,mae:double>>")).alias("c"))
-    return each.select("c.name", "c.mae", F.explode_outer("c.params").alias("param", "amount"))
+    """A report of candidates written as one document of maps, read back as a table, a row for each candidate and segment."""
+    known = F.explode(F.array(F.lit("all"), F.when(F.col("prior_count") > 0, "known").otherwise("cold"))).alias("part")
+    scored = guesses(series(spark, sf_dir)).where("split = 'validation'").select("model", "target", "guess", known)
+    metrics = store(scored.groupBy("model", "part").agg(*ops.regression_metrics("target", "guess")), "metrics")
+    segments = F.map_from_entries(F.collect_list(F.struct("part", F.struct("n_rows", "mae", "rmse", "r2"))))
+    each = metrics.groupBy(F.col("model").alias("name")).agg(segments.alias("segments"))  # a few models
+    best = F.min(F.when((F.col("part") == "all") & (F.col("coverage") == 1), F.struct("mae", "model")))["model"]
+    report = each.agg(F.collect_list(F.struct("name", "segments")).alias("validation")).crossJoin(metrics.agg(best.alias("selected")))  # one row each
+    path = work_dir(spark, "report")
+    report.select(F.to_json(F.struct(F.struct("selected", "validation").alias("models"))).alias("value")).write.text(path)
+    read = read_json(spark, path, REPORT).select(F.col("models.selected").alias("best"), F.explode("models.validation").alias("c"))
+    rows = read.select("best", "c.name", F.explode("c.segments").alias("part", "m"))
+    return rows.select("name", "part", "m.n_rows", "m.mae", "m.rmse", "m.r2", (F.col("name") == F.col("best")).alias("selected"))
+
+
+DEMAND = {"Brand#11": "high", "Brand#22": "low"}
 
 
 @query("""SELECT p_partkey, trim(regexp_replace(p_name || ' (' || p_brand || ')' || ' x(1)', '\\(.*?\\)', '', 'g')) AS bare, regexp_replace(p_brand || p_size, '[^0-9]', '', 'g') AS digits,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -45,7 +45,7 @@ def text_schema(columns: list[str], keep_bad: bool = False) -> StructType:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], keep_bad: bool = True, line_breaks: bool = True) -> DataFrame:
-    """All columns as text; empty stays empty; rows of another arity keep their line in BAD.
+    """All columns as text; empty stays empty; rows of another arity keep their line in BAD; a byte-order mark is no text.
 
     line_breaks: fields may hold them; without, a large file is split among tasks.
     """
@@ -75,7 +75,7 @@ def export(df: DataFrame, path: str, url: str | None = None, name: str | None =
     write_csv(df, f"{path}/csv")
     df.write.mode("overwrite").json(f"{path}/json")
     if url:
-        df.write.format("jdbc").option("url", url).option("dbtable", name).option("truncate", True).mode("overwrite").save()
+        write_jdbc(df, url, name)
 
 
 def check_header(spark: SparkSession, path: str, columns: list[str]) -> None:
@@ -105,18 +105,58 @@ def read_or_build(spark: SparkSession, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, statement: str, fallback) -> DataFrame:
-    """A query's rows over JDBC; the fallback's if the server can't be reached or there are none.
+def _unreachable(error: Exception) -> bool:
+    """Whether a driver is missing or a server can't be reached (SQL state class 08), by the exceptions' classes."""
+    java = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    while java is not None:
+        name = java.getClass().getName()
+        if name in ("java.lang.ClassNotFoundException", "java.net.ConnectException", "java.net.UnknownHostException"):
+            return True
+        if hasattr(java, "getSQLState") and str(java.getSQLState() or "").startswith("08"):
+            return True
+        java = java.getCause()
+    return False
+
+
+def read_jdbc(spark: SparkSession, url: str, statement: str, fallback, **options) -> DataFrame:
+    """A query's rows over JDBC, read once; the fallback's if the server can't be reached or there are none.
 
     Only missing drivers and failed connections count as that; a wrong statement raises.
+    options: Spark's, such as driver, user, password, fetchsize.
     """
     try:
-        df = spark.read.format("jdbc").option("url", url).option("query", statement).load()
-        return fallback() if df.isEmpty() else df
+        df = store(spark.read.format("jdbc").options(url=url, query=statement, **options).load(), "jdbc-rows")
     except Exception as error:
-        if any(x in str(error) for x in ("No suitable driver", "ClassNotFound", "Connection refused", "UnknownHost", "Communications link failure")):
+        if _unreachable(error):
             return fallback()
         raise
+    return fallback() if df.isEmpty() else df
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, **options) -> None:
+    """The rows as a table's only ones: it is made if there is none, and emptied if there is one.
+
+    Where the database's dialect can't empty it in place, Spark makes it anew.
+    """
+    df.write.format("jdbc").options(url=url, dbtable=name, truncate=True, **options).mode("overwrite").save()
+
+
+def read_numbered_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Text columns with source_file and source_row, the row's number in its file (the header's is 1).
+
+    A split is read by one task in its order, so rows are numbered within their split, and the
+    rows of earlier splits of the file, of which there is a row a split, are added.
+    Fields hold no line breaks.
+    """
+    reader = spark.read.schema(text_schema(columns)).option("header", True).option("escape", '"')
+    df = reader.csv(path).na.fill("", columns)
+    place = {"source_file": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start"), "__row": F.monotonically_increasing_id()}
+    rows = store(df.select("*", *[c.alias(n) for n, c in place.items()]), "numbered-rows")
+    splits = rows.groupBy(F.col("source_file").alias("__file"), F.col("__start").alias("__at")).agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
+    earlier = Window.partitionBy("__file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    joined = rows.join(splits, (F.col("source_file") == F.col("__file")) & (F.col("__start") == F.col("__at")))
+    return joined.select(*df.columns, "source_file", (F.col("__before") + F.col("__row") - F.col("__first") + 2).alias("source_row"))
 
 
 def without_personal(df: DataFrame, names=("SBD", "sbd")) -> DataFrame:
