@@ -105,14 +105,15 @@ def read_or_build(spark: SparkSession, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _unreachable(error: Exception) -> bool:
+def _unreachable(spark: SparkSession, error: Exception) -> bool:
     """Whether a driver is missing or a server can't be reached (SQL state class 08), by the exceptions' classes."""
     java = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    of_database = spark.sparkContext._jvm.java.lang.Class.forName("java.sql.SQLException")
     while java is not None:
         name = java.getClass().getName()
         if name in ("java.lang.ClassNotFoundException", "java.net.ConnectException", "java.net.UnknownHostException"):
             return True
-        if hasattr(java, "getSQLState") and str(java.getSQLState() or "").startswith("08"):
+        if of_database.isInstance(java) and str(java.getSQLState() or "").startswith("08"):
             return True
         java = java.getCause()
     return False
@@ -127,7 +128,7 @@ def read_jdbc(spark: SparkSession, url: str, statement: str, fallback, **options
     try:
         df = store(spark.read.format("jdbc").options(url=url, query=statement, **options).load(), "jdbc-rows")
     except Exception as error:
-        if _unreachable(error):
+        if _unreachable(spark, error):
             return fallback()
         raise
     return fallback() if df.isEmpty() else df
