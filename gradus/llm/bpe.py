@@ -4,9 +4,10 @@
    partition) emits its distinct words: (word, block).
 2. Brought together and sorted by word over the whole corpus, the pairs of a word follow one
    another, and each distinct word is encoded exactly once by the tokenizers library. The ids
-   go back to the blocks that hold the word, as one small dictionary file per block in the
-   shared folder; the texts themselves never move. Pairs stream through: a word may be in any
-   number of blocks, and none is gathered.
+   go back to the blocks that hold the word: sorted by block, dictionaries lie one after
+   another in a file a task in the shared folder, with an index of where each block's begin.
+   The texts themselves never move. Pairs stream through: a word may be in any number of
+   blocks, and none is gathered.
 3. Each block joins ids back by position against its dictionary, and decodes its ids
    through the id-to-piece table, which is bounded by the vocabulary.
 
@@ -25,8 +26,10 @@ encoded on the spot, so results never depend on it.
 from __future__ import annotations
 
 import re
+import uuid
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +47,8 @@ WORDS = re.compile(
 BLOCK_CHARS = 64_000_000
 #: Distinct words a task holds before it hands them on (some may then come twice).
 HELD_WORDS = 1_000_000
+#: Blocks of a partition are numbered in so many bits; bytes of a stretch of a dictionary.
+BLOCK_BITS, STRETCH = 24, 8_000_000
 #: Rows of an Arrow batch, and of those that a task turns into Python objects at a time.
 ROWS, SLICE = 2000, 128
 
@@ -104,7 +109,7 @@ def _blocks(batches, block_chars: int):
     """(block, rows) of a partition in its order; a block ends at the row that fills it."""
     from pyspark import TaskContext
 
-    block, filled = TaskContext.get().partitionId() << 24, 0
+    block, filled = TaskContext.get().partitionId() << BLOCK_BITS, 0
     for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         rows = []
         for values in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
@@ -161,32 +166,83 @@ def _encode_table(path: str):
     return run
 
 
-def _read_dictionary(uri: str, block: int) -> dict[str, str]:
-    import pyarrow.parquet as pq
-    from pyarrow import fs as pafs
+def _write_dictionaries(uri: str):
+    """Rows (word, ids, block) sorted by block to one file a task; rows (block, file, at, size): where each block's stretches lie.
 
-    files, root = open_fs(uri)
-    words: dict[str, str] = {}
-    folder = f"{root}/block={block}"
-    if files.get_file_info(folder).type == pafs.FileType.NotFound:
-        return words
-    for info in files.get_file_info(pafs.FileSelector(folder)):
-        if info.path.endswith(".parquet"):
-            with files.open_input_file(info.path) as f:
-                for batch in pq.ParquetFile(f).iter_batches(65_536, columns=["word", "ids"]):
+    A file is named by its attempt and counts only through these rows, which a task that fails doesn't leave.
+    """
+
+    def run(batches):
+        files, root = open_fs(uri)
+        name, out, at = uuid.uuid4().hex, None, 0
+
+        def write(block, parts):
+            nonlocal out, at
+            if out is None:
+                files.create_dir(root, recursive=True)
+                out = files.open_output_stream(f"{root}/words-{name}.bin", buffer_size=1 << 20)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(pa.Table.from_batches(parts).combine_chunks())
+            piece = sink.getvalue()
+            out.write(piece)
+            at += piece.size
+            columns = zip([block, name, at - piece.size, piece.size], (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)
+            return pa.record_batch([pa.array([v], t) for v, t in columns], ["block", "file", "at", "size"])
+
+        now, parts, held = None, [], 0
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(a, b - a).select(["word", "ids"])
+                if parts and (blocks[a] != now or held >= STRETCH):
+                    yield write(now, parts)
+                    parts, held = [], 0
+                now, held = int(blocks[a]), held + part.nbytes
+                parts.append(part)
+        if parts:
+            yield write(now, parts)
+        if out is not None:
+            out.close()
+
+    return run
+
+
+class _Dictionaries:
+    """Dictionaries of a task's blocks, read by the index of the task's own blocks."""
+
+    def __init__(self, uri: str, index: str, partition: int):
+        import pyarrow.dataset as ds
+
+        self.files, self.root = open_fs(uri)
+        files, at = open_fs(index)
+        own = (ds.field("block") >= partition << BLOCK_BITS) & (ds.field("block") < (partition + 1) << BLOCK_BITS)
+        self.places: dict[int, list[tuple[str, int, int]]] = {}
+        for row in ds.dataset(at, filesystem=files, format="parquet").to_table(filter=own).to_pylist():
+            self.places.setdefault(row["block"], []).append((row["file"], row["at"], row["size"]))
+
+    def read(self, block: int) -> dict[str, str]:
+        words: dict[str, str] = {}
+        for name, at, size in self.places.get(block, ()):
+            with self.files.open_input_file(f"{self.root}/words-{name}.bin") as f:
+                f.seek(at)
+                for batch in pa.ipc.open_stream(f.read(size)):
                     words.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-    return words
+        return words
 
 
-def _apply(path: str, uri: str, block_chars: int, decode: bool, id_type: pa.DataType):
+def _apply(path: str, uri: str, index: str, block_chars: int, decode: bool, id_type: pa.DataType):
     def run(batches):
-        tok = load_tokenizer(path)
+        from pyspark import TaskContext
+
+        tok, known = load_tokenizer(path), _Dictionaries(uri, index, TaskContext.get().partitionId())
         special, piece = _special(tok), pieces(path) if decode else {}
         now, table = None, {}
         for block, rows in _blocks(batches, block_chars):
             if block != now:
-                now, table = block, {}
-                table = _read_dictionary(uri, block)
+                now, table = block, {}  # the last one is let go first
+                table = known.read(block)
             keys, counts, encoded, decoded = [], [], [], []
             for key, text in rows:
                 words = split_words(text, special) if text else []
@@ -215,8 +271,8 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, decode: bool = Tr
     return _encode(docs, tokenizer_path, decode, block_chars, held_words)[0]
 
 
-def _encode(docs: DataFrame, tokenizer_path: str | None, decode: bool, block_chars: int = BLOCK_CHARS, held_words: int = HELD_WORDS) -> tuple[DataFrame, str]:
-    """(what encode gives, the folder of the dictionaries)."""
+def _encode(docs: DataFrame, tokenizer_path: str | None, decode: bool, block_chars: int = BLOCK_CHARS, held_words: int = HELD_WORDS) -> tuple[DataFrame, list[str]]:
+    """(what encode gives, the folders of the dictionaries and of their index)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark, path = docs.sparkSession, tokenizer_path or default_tokenizer()
@@ -225,11 +281,12 @@ def _encode(docs: DataFrame, tokenizer_path: str | None, decode: bool, block_cha
     words = source.select("text").mapInArrow(_emit_words(path, block_chars, held_words), "word string, block bigint")
     pairs = words.repartition("word").sortWithinPartitions("word")
     table = pairs.mapInArrow(_encode_table(path), "word string, ids string, block bigint")
+    grouped = table.repartition("block").sortWithinPartitions("block")
     with small_batches(spark, ROWS):
-        table.repartition("block").sortWithinPartitions("block").write.option("compression", "zstd").partitionBy("block").parquet(uri)
+        index = materialize(grouped.mapInArrow(_write_dictionaries(uri), "block bigint, file string, at bigint, size bigint"), "bpe-index")
     id_field = source.schema["doc_id"]
     schema = f"doc_id {id_field.dataType.simpleString()}, n_tokens bigint, ids string" + ", decoded string" * decode
-    return source.mapInArrow(_apply(path, uri, block_chars, decode, to_arrow_type(id_field.dataType)), schema), uri
+    return source.mapInArrow(_apply(path, uri, index.written_to, block_chars, decode, to_arrow_type(id_field.dataType)), schema), [uri, index.written_to]
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
@@ -250,7 +307,7 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str | None = None) -> DataFra
 
 def digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """Per document: n_tokens and the SHA-256 of its joined ids and of its decoded text; no dictionary stays."""
-    done, uri = _encode(docs, tokenizer_path, True)
+    done, folders = _encode(docs, tokenizer_path, True)
     out = done.select(
         "doc_id",
         "n_tokens",
@@ -259,7 +316,8 @@ def digests(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     )
     with small_batches(docs.sparkSession, ROWS):
         out = materialize(out, "bpe-digests")
-    remove(docs.sparkSession, uri)
+    for folder in folders:
+        remove(docs.sparkSession, folder)
     return out
 
 
