@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import store
+
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join in which null keys match; right's key columns are dropped."""
@@ -21,6 +23,11 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return left.join(right, on, how).drop(*names.values())
 
 
+def store_rows(df: DataFrame) -> DataFrame:
+    """Rows that many later steps read, written once."""
+    return store(df, "series")
+
+
 def exact_lag(target: str, keys: list[str], k: int, year: str = "year") -> Column:
     """The target of year - k exactly; null if that year is missing."""
     return F.max(target).over(Window.partitionBy(*keys).orderBy(year).rangeBetween(-k, -k))
