@@ -1,4 +1,7 @@
-"""Row validation: an ordered list of error codes for each row, as one array expression."""
+"""Row validation: an ordered list of error codes for each row, as one array expression.
+
+The codes' names (column:what_is_wrong) are fixed values.
+"""
 
 from __future__ import annotations
 
@@ -29,11 +32,19 @@ class Rules:
 
 
 TOLERANCE = "0.01"
+#: Sixteen whole digits and fourteen behind the point; sums of nine of them are exact, too.
+KIND = "decimal(30,14)"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def number(name: str) -> Column:
-    """A text column as a decimal; null if it is blank or no finite number."""
-    return F.trim(F.col(name)).try_cast("decimal(18,6)")
+    """A text column as a decimal; null if it is blank, no finite number, or longer than KIND."""
+    return F.trim(F.col(name)).try_cast(KIND)
+
+
+def too_long(name: str) -> Column:
+    """Whether a text is a number of more whole digits than KIND holds: beyond every range."""
+    return F.trim(F.col(name)).rlike(NUMBER) & number(name).isNull()
 
 
 def padded(name: str, width: int) -> Column:
@@ -56,15 +67,15 @@ def codes(rules: Rules) -> Column:
     out.append(F.when(full & (padded(suffix, six) != F.substring(whole, two + 1, six)), f"{suffix}:khong_khop_{sbd}"))
     names = [*rules.subjects, *[n for columns, _ in rules.ranges for n in columns if n not in rules.subjects]]
     for n in names:
-        out.append(F.when(F.trim(F.col(n)).rlike(NOT_FINITE), f"{n}:so_khong_huu_han").when(~blank(n) & number(n).isNull(), f"{n}:khong_phai_so"))
+        out.append(F.when(F.trim(F.col(n)).rlike(NOT_FINITE), f"{n}:so_khong_huu_han").when(~blank(n) & number(n).isNull() & ~too_long(n), f"{n}:khong_phai_so"))
     for columns, most in rules.ranges:
-        out += [F.when(~number(n).between(0, most), f"{n}:ngoai_khoang_0_{most}") for n in columns]
+        out += [F.when(~number(n).between(0, most) | too_long(n), f"{n}:ngoai_khoang_0_{most}") for n in columns]
     code, score = rules.language
     given = F.upper(F.trim(F.col(code)))
     out.append(F.when((given != "") & ~given.rlike(rules.languages), f"{code}:khong_hop_le"))
     out.append(F.when((given != "") != number(score).isNotNull(), f"{code}:khong_dong_bo_diem_ngoai_ngu"))
-    near = F.lit(TOLERANCE).cast("decimal(18,6)")
-    zero = F.lit(0).cast("decimal(18,6)")
+    near = F.lit(TOLERANCE).cast(KIND)
+    zero = F.lit(0).cast(KIND)
     every = sum((F.coalesce(number(s), zero) for s in rules.subjects[1:]), F.coalesce(number(rules.subjects[0]), zero))
     out.append(F.when(F.abs(number(rules.total) - every) > near, f"{rules.total}:sai_tong_cac_mon"))
     for n, (divisor, parts) in rules.formulas.items():

@@ -175,16 +175,24 @@ def exam_row_validator(spark, sf_dir):
     return _raw(spark, sf_dir).select("c_custkey", F.array_join(validate.codes(RULES), ";").alias("codes"))
 
 
+_V = "try_cast(nullif(trim({0}), '') AS DECIMAL(18,6))"
+_EVERY = " + ".join(f"coalesce({_V.format(s)}, 0)" for s in RAW_SUBJECTS)
 CHECKS_SQL = " UNION ALL ".join(
-    f"SELECT '{name}' AS formula, count(*) FILTER (WHERE ok) AS checked, count(*) FILTER (WHERE NOT ok) AS skipped FROM (SELECT {' AND '.join(f'''try_cast(nullif({s}, '') AS DECIMAL(12,4)) IS NOT NULL''' for s in (name, *parts))} AS ok FROM raw)"
-    for name, (_, parts) in FORMULAS.items()
+    f"SELECT '{name}' AS formula, count(*) FILTER (WHERE ok) AS checked, count(*) FILTER (WHERE NOT ok) AS skipped, count(*) FILTER (WHERE ok AND apart) AS mismatched FROM (SELECT {able} AS ok, coalesce({apart}, false) AS apart FROM raw)"
+    for name, able, apart in [
+        *[(n, " AND ".join(f"{_V.format(s)} IS NOT NULL" for s in (n, *parts)), f"abs({_V.format(n)} * {d} - ({' + '.join(_V.format(x) for x in parts)})) > {d} * 0.01") for n, (d, parts) in FORMULAS.items()],
+        ("TongDiem", f"{_V.format('TongDiem')} IS NOT NULL", f"abs({_V.format('TongDiem')} - ({_EVERY})) > 0.01"),
+    ]
 )
 
 
 @query(f"WITH {_raw_sql()} {CHECKS_SQL}")
 def exam_formula_checks(spark, sf_dir):
-    """How many rows each formula could be checked on."""
+    """How many rows each formula and the total were checked on, skipped on, and didn't hold on."""
     value: dict[str, Column] = {s: validate.number(s) for s in RAW}
     able = {name: sum((value[p].isNotNull().cast("int") for p in parts), value[name].isNotNull().cast("int")) == len(parts) + 1 for name, (_, parts) in FORMULAS.items()}
-    counts = _raw(spark, sf_dir).agg(*[F.count_if(c).alias(n) for n, c in able.items()], F.count(F.lit(1)).alias("n_rows"))
-    return counts.unpivot(["n_rows"], [*able], "formula", "checked").select("formula", "checked", (F.col("n_rows") - F.col("checked")).alias("skipped"))
+    able["TongDiem"] = value["TongDiem"].isNotNull()
+    df = _raw(spark, sf_dir).withColumn("codes", validate.codes(RULES))
+    apart = lambda name: F.array_contains("codes", f"{name}:{'sai_tong_cac_mon' if name == 'TongDiem' else 'sai_cong_thuc'}")
+    each = [F.struct(F.lit(n).alias("formula"), F.count_if(c).alias("checked"), F.count_if(~c).alias("skipped"), F.count_if(apart(n)).alias("mismatched")) for n, c in able.items()]
+    return df.agg(F.array(*each).alias("a")).select(F.inline("a"))

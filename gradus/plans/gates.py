@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import gates as ops
 from ..operators.quantiles import with_quantiles
+from ..operators.series import lag_features
 from .registry import query, table
+from .series import KEYS, LAGGED, series
 
 REASONS = """rejects AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, list_filter([
@@ -167,10 +169,12 @@ def lenient_clean_counters(spark, sf_dir):
 FORBIDDEN = {"target", "o_totalprice", "prediction", "split"}
 
 
-@query("""SELECT 'unique_orders' AS gate, (SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)) AS failures
+@query(f"""WITH {LAGGED} SELECT 'unique_orders' AS gate, (SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)) AS failures
   UNION ALL SELECT 'row_count', (SELECT abs(count(*) - (SELECT count(*) FROM orders)) FROM orders JOIN customer ON o_custkey = c_custkey)
   UNION ALL SELECT 'price_range', (SELECT count(*) FROM orders WHERE o_totalprice NOT BETWEEN 0 AND 600000)
   UNION ALL SELECT 'forbidden_features', 0  -- no feature of the models is its own year's target
+  UNION ALL SELECT 'features_of_other_years', (SELECT count(*) FROM lagged l LEFT JOIN series s ON s.nation = l.nation AND s.segment = l.segment AND s.combo = l.combo AND s.year = l.year - 1
+    WHERE l.lag_1_year IS DISTINCT FROM s.target OR l.years_since_last < 1)
   UNION ALL SELECT 'orphans', (SELECT count(*) FROM orders ANTI JOIN customer ON o_custkey = c_custkey)""")
 def invariant_gates(spark, sf_dir):
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -184,6 +188,11 @@ def invariant_gates(spark, sf_dir):
     leak = spark.range(1).select(F.lit("forbidden_features").alias("gate"), F.lit(len(leaks)).cast("bigint").alias("failures"))
     out = n(orders.groupBy("o_orderkey").count().where("count > 1"), "unique_orders").unionByName(rows).unionByName(leak)
     out = out.unionByName(n(orders.where(~F.col("o_totalprice").between(0, 600000)), "price_range"))
+    base = series(spark, sf_dir)
+    year_before = base.select(*KEYS, (F.col("year") + 1).alias("year"), F.col("target").alias("of_year_before"))
+    lagged = lag_features(base, KEYS).join(year_before, [*KEYS, "year"], "left")
+    other = ~F.col("lag_1_year").eqNullSafe(F.col("of_year_before")) | (F.coalesce("years_since_last", F.lit(1)) < 1)
+    out = out.unionByName(n(lagged.where(other), "features_of_other_years"))
     return out.unionByName(n(orders.join(ids, "o_custkey", "left_anti"), "orphans"))
 
 

@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("series", "gates", "marts", "texts", "identity", "serving", "models", "sources", "exams", "choices", "web", "rules")
+MODULES = ("series", "gates", "marts", "texts", "identity", "serving", "models", "sources", "exams", "choices", "web", "rules", "upkeep")
 
 
 def query(sql: str | None = None):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as fn
+from ..operators import validate
 from .registry import query, table
 
 FOLD = "replace(strip_accents(lower({0})), 'đ', 'd')"
@@ -77,11 +79,11 @@ def token_relevance_top8(spark, sf_dir):
 
 
 @query("""WITH last AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
-  SELECT conv_id, turn, role, substr(text, 1, 1000) AS text FROM last WHERE back <= 6 AND role IN ('user', 'assistant')""")
+  SELECT conv_id, turn, role, substr(text, 1, 1000) AS text FROM last WHERE back <= 6 AND role IN ('user', 'assistant') AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
 def last_n_history(spark, sf_dir):
-    """The last six turns first, then the roles; the order matters."""
+    """The last six turns first, then the roles, then blank texts go; the order matters."""
     back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    df = table(spark, sf_dir, "conversations").withColumn("back", back).where("back <= 6").where(F.col("role").isin("user", "assistant"))
+    df = table(spark, sf_dir, "conversations").withColumn("back", back).where("back <= 6").where(F.col("role").isin("user", "assistant") & (F.btrim("text", F.lit(" \t\n\r")) != ""))
     return df.select("conv_id", "turn", "role", F.substring("text", 1, 1000).alias("text"))
 
 
@@ -124,19 +126,21 @@ def stable_hash_id(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("vj_"), F.substring(F.sha2(F.concat_ws("\x1f", *parts, flag), 256), 1, 20)).alias("id"))
 
 
-@query("""SELECT c_custkey, upper(regexp_replace(' ' || c_name || '.0 ', '\\s|\\.0', '', 'g')) AS code, split_part(c_name, '#', 1) AS before, lpad((c_custkey % 100)::VARCHAR, 6, '0') AS padded,
-  regexp_extract(c_name, '([0-9]{3,7})', 1) AS core, translate(lower(c_name), '_', ' ') AS spaced, try_cast(replace((c_custkey / 10.0)::DECIMAL(12,1)::VARCHAR, '.', ',') AS DOUBLE) IS NULL AS comma_fails FROM customer""")
+@query("""SELECT c_custkey, upper(regexp_replace(' ' || c_name || '.0 ', '\\s|\\.0', '', 'g')) AS code, split_part(c_name, '#', 1) AS before, CASE WHEN c_custkey % 7 = 0 THEN 'x' || c_custkey % 100 WHEN c_custkey % 11 = 0 THEN '1234567' ELSE lpad((c_custkey % 100)::VARCHAR, 6, '0') END AS padded,
+  regexp_extract(c_name, '([0-9]{3,7})', 1) AS core, translate(lower(c_name), '_', ' ') AS spaced, (c_custkey / 10.0)::DECIMAL(12,1)::DOUBLE AS comma FROM customer""")
 def code_cleanup(spark, sf_dir):
     name = F.col("c_name")
     comma = F.replace((F.col("c_custkey") / 10.0).cast("decimal(12,1)").cast("string"), F.lit("."), F.lit(","))
-    return table(spark, sf_dir, "customer").select(
+    short = (F.col("c_custkey") % 100).cast("string")
+    digits = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("x"), short)).when(F.col("c_custkey") % 11 == 0, "1234567").otherwise(short)
+    return table(spark, sf_dir, "customer").withColumn("digits", digits).select(
         "c_custkey",
         F.upper(F.regexp_replace(F.concat(F.lit(" "), name, F.lit(".0 ")), r"\s|\.0", "")).alias("code"),
         F.split_part(name, F.lit("#"), F.lit(1)).alias("before"),
-        F.lpad((F.col("c_custkey") % 100).cast("string"), 6, "0").alias("padded"),
+        validate.padded("digits", 6).alias("padded"),
         F.regexp_extract(name, "([0-9]{3,7})", 1).alias("core"),
         F.translate(F.lower(name), "_", " ").alias("spaced"),
-        comma.try_cast("double").isNull().alias("comma_fails"),
+        rules.as_number(comma).alias("comma"),
     )
 
 
