@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from bisect import bisect_right
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,3 +106,20 @@ def word_split(text: Column) -> Column:
 def broadcast_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """A broadcast hint for a written table of at most so many narrow rows; else the table as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def clear_of(taken: list[tuple[int, int]]):
+    """A function that tells whether a span (start, end) meets none of those taken, which may meet one another."""
+    starts, ends = [], []
+    for a, b in sorted(taken):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def clear(start: int, end: int) -> bool:
+        i = bisect_right(ends, start)
+        return i == len(ends) or end <= starts[i]
+
+    return clear

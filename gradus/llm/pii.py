@@ -31,7 +31,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import exact
+from ._common import clear_of, exact
 from .secrets import digest
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
@@ -344,7 +344,8 @@ def find(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 known = base_spans(text)
-                more = [x for x in field_spans(text, weights) if all(x[2] <= s or x[0] >= e for s, _, e in known)]
+                clear = clear_of([(s, e) for s, _, e in known])
+                more = [x for x in field_spans(text, weights) if clear(x[0], x[2])]
                 base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in known])
                 every.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in sorted(known + more)])
             yield pa.record_batch([batch.column("doc_id").cast(id_type), pa.array(base, of), pa.array(every, of)], ["doc_id", "base", "spans"])

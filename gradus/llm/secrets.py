@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import exact, materialize
+from ._common import clear_of, exact, materialize
 
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.01
@@ -228,17 +228,17 @@ def known(encoding: str, lengths: tuple[tuple[int, int], ...]) -> tuple[int, ...
 
 
 _CELL = "struct<encoding:string,length:int,bin:int>"
-_SCAN = f"base array<struct<start:bigint,kind:int,end:bigint>>, found array<struct<start:bigint,end:bigint,encoding:string,length:int,bin:int>>, reference {_CELL}"
+_SCAN = f"base array<struct<start:bigint,kind:int,end:bigint>>, found array<struct<start:bigint,end:bigint,encoding:string,length:int,bin:int,clear:boolean>>, reference {_CELL}"
 
 
 def _scan_type() -> list[pa.DataType]:
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     cells = [("encoding", pa.string()), ("length", pa.int32()), ("bin", pa.int32())]
-    return [pa.list_(span), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), *cells])), pa.struct(cells)]
+    return [pa.list_(span), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), *cells, ("clear", pa.bool_())])), pa.struct(cells)]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans, candidates with their cells, and the reference cell of each row."""
+    """doc_id, base spans, candidates with their cells and whether they meet no base span, and the reference cell of each row."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     source = docs.select(exact(docs, "doc_id").alias("doc_id"), exact(docs, "text").cast("string").alias("text"))
@@ -252,8 +252,10 @@ def scan(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
                 words = long_words(text)
-                base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in base_spans(text, words)])
-                found.append([dict(zip(("start", "end", "encoding", "length", "bin"), x, strict=True)) for x in candidates(words)])
+                known = base_spans(text, words)
+                clear = clear_of([(s, e) for s, _, e in known])
+                base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in known])
+                found.append([dict(zip(("start", "end", "encoding", "length", "bin", "clear"), (*x, clear(x[0], x[1])), strict=True)) for x in candidates(words)])
                 ref = reference(text, doc_id)
                 refs.append(ref and dict(zip(("encoding", "length", "bin"), ref, strict=True)))
             columns = [pa.array(x, t) for x, t in zip((base, found, refs), types, strict=True)]
@@ -292,15 +294,15 @@ def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], in
 
 def added(base: list, found: list, passes: dict[tuple[str, int], int]) -> list[tuple[int, int]]:
     """(start, end) of candidates that pass and overlap no base span."""
-    return [(s, e) for s, e, encoding, length, b in found if b <= passes.get((encoding, length), -1) and all(e <= x or s >= z for x, _, z in base)]
+    clear = clear_of([(x, z) for x, _, z in base])
+    return [(s, e) for s, e, encoding, length, b in found if b <= passes.get((encoding, length), -1) and clear(s, e)]
 
 
 def spans(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, base and spans (all): arrays of (start, kind, end), kind as its place in KINDS."""
     scanned = materialize(scan(docs), "secrets")
     passes = thresholds(scanned, fdr)
-    more = F.expr("filter(found, c -> not exists(base, b -> b.start < c.end and c.start < b.end))")
-    passed = F.filter(more, lambda c: _passes(c, passes))
+    passed = F.filter("found", lambda c: c["clear"] & _passes(c, passes))
     more = F.transform(passed, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return scanned.select("doc_id", "base", F.sort_array(F.concat("base", more)).alias("spans"))
 

@@ -43,3 +43,15 @@ def test_toxicity_sample_ignores_length(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(i % 11 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
     texts, toxic, _ = toxicity.sample(docs, labels)
     assert 5 <= sum(toxic) < 20 and sum(map(len, texts)) <= 20_000
+
+
+def test_spans_that_meet_none_taken():
+    from gradus.llm._common import clear_of
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 30):
+        taken = [(int(a), int(a + b)) for a, b in zip(rng.integers(0, 60, n), rng.integers(1, 9, n), strict=True)]
+        clear = clear_of(taken)
+        for a in range(70):
+            for b in range(a + 1, a + 12):
+                assert clear(a, b) == all(b <= x or a >= z for x, z in taken)
