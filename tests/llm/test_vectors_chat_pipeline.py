@@ -125,3 +125,34 @@ def test_pipeline_stages(spark):
     assert set(ids[3]) == set(ids[2]) and len(ids[3]) > len(ids[2])
     assert Counter(ids[4]) == Counter(ids[3])
     assert len(corpus_pipeline.run(spark, SF).columns) == 4
+
+
+def test_recall_where_the_index_prunes(spark, monkeypatch):
+    """Windows together hold under half the table, and recall is still 0.9."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(150, 32))
+    rows = [(i, (centres[i % 150] + 0.05 * rng.normal(size=32)).tolist()) for i in range(6000)]
+    radius = []
+    fitted = ann._radius
+    monkeypatch.setattr(ann, "_radius", lambda *a: radius.append(fitted(*a)) or radius[0])
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("id") % 200 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows, [i for i, _ in rows if i % 200 == 0], 10)
+    assert got.keys() == want.keys()
+    assert (2 * radius[0] + 1) * ann.PROBED < 0.5 * len(rows)  # vectors met in a query's windows, those met twice counted twice
+    assert sum(len(got[q] & {v for v, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+
+
+def test_pipeline_of_nothing_and_of_awkward_rows(spark, docs, tmp_path):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    letters = np.random.default_rng(3).choice(list("aeioustrnl"), (30, 80, 6))
+    plain = [(1000 + i, " ".join("".join(w) for w in words), "en", "s1", 559) for i, words in enumerate(letters)]
+    awkward = docs.select(columns).unionByName(spark.createDataFrame(plain, docs.select(columns).schema))
+    for name, rows in (("none", awkward.limit(0)), ("awkward", awkward)):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        kept = {r.doc_id for r in out.collect()}
+        assert (kept >= {i for i, *_ in plain}) == (name == "awkward") and (name == "awkward" or not kept)
