@@ -171,9 +171,9 @@ def forecast_future_rows(spark, sf_dir):
 @query(f"""WITH {LAGGED} SELECT count(*) AS n_rows, count(*) FILTER (WHERE l.lag_1_year IS DISTINCT FROM s.target) AS mismatches
   FROM lagged l LEFT JOIN series s ON s.nation = l.nation AND s.segment = l.segment AND s.combo = l.combo AND s.year = l.year - 1""")
 def exact_lag_selfcheck(spark, sf_dir):
-    df = ops.lag_features(series(spark, sf_dir), KEYS)
-    before = df.select(*KEYS, (F.col("year") + 1).alias("year"), F.col("target").alias("want"))
-    both = df.join(before, [*KEYS, "year"], "left")
+    base = ops.store_rows(series(spark, sf_dir))  # both sides read the same means: summed twice in any order, they differ in the last digits
+    before = base.select(*KEYS, (F.col("year") + 1).alias("year"), F.col("target").alias("want"))
+    both = ops.null_safe(ops.lag_features(base, KEYS), before, [*KEYS, "year"])
     return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("lag_1_year").eqNullSafe(F.col("want"))).alias("mismatches"))
 
 
