@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gates as ops
 from ..operators.quantiles import with_quantiles
-from ..operators.series import lag_features
+from ..operators.series import lag_features, null_safe, store_rows
 from .registry import query, table
 from .series import KEYS, LAGGED, series
 
@@ -188,9 +188,9 @@ def invariant_gates(spark, sf_dir):
     leak = spark.range(1).select(F.lit("forbidden_features").alias("gate"), F.lit(len(leaks)).cast("bigint").alias("failures"))
     out = n(orders.groupBy("o_orderkey").count().where("count > 1"), "unique_orders").unionByName(rows).unionByName(leak)
     out = out.unionByName(n(orders.where(~F.col("o_totalprice").between(0, 600000)), "price_range"))
-    base = series(spark, sf_dir)
+    base = store_rows(series(spark, sf_dir))  # lags and years before are of the same means, to the last digit
     year_before = base.select(*KEYS, (F.col("year") + 1).alias("year"), F.col("target").alias("of_year_before"))
-    lagged = lag_features(base, KEYS).join(year_before, [*KEYS, "year"], "left")
+    lagged = null_safe(lag_features(base, KEYS), year_before, [*KEYS, "year"])
     other = ~F.col("lag_1_year").eqNullSafe(F.col("of_year_before")) | (F.coalesce("years_since_last", F.lit(1)) < 1)
     out = out.unionByName(n(lagged.where(other), "features_of_other_years"))
     return out.unionByName(n(orders.join(ids, "o_custkey", "left_anti"), "orphans"))

@@ -20,3 +20,10 @@ def unsteady(monkeypatch, spark):
 def test_lags_check_themselves(spark, unsteady):
     got = series.exact_lag_selfcheck(spark, "").collect()
     assert [tuple(r) for r in got] == [(len(ROWS), 0)]
+
+
+def test_gates_see_no_other_year(spark, unsteady, tmp_path):
+    spark.createDataFrame([(1, 1, 5.0), (2, 2, 7.0)], "o_orderkey bigint, o_custkey bigint, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1,), (2,)], "c_custkey bigint").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.gate: r.failures for r in gates.invariant_gates(spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and set(got.values()) == {0}
