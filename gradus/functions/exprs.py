@@ -11,6 +11,16 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
+def round_binary(x: Column, digits: int) -> Column:
+    """A double rounded half away from zero by its binary value times a power of ten, as SQL engines do.
+
+    Spark's round goes by the shortest decimal form: 6.484999999999999 is 6.48 to it and 6.49
+    here, as a hundred times it is 648.5 to the last bit.
+    """
+    power = 10.0**digits
+    return F.round(x * power, 0) / power
+
+
 def scale_quantiles(x: Column, low: Column, high: Column) -> Column:
     """(x - low) / (high - low) within 0 and 1; 0.5 where the bounds don't differ."""
     return F.when(high <= low, F.lit(0.5)).otherwise(clip(F.try_divide(x - low, high - low), 0.0, 1.0))

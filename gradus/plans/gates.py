@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import round_binary
 from ..operators import gates as ops
 from ..operators.quantiles import with_quantiles
 from ..operators.series import lag_features, null_safe, store_rows
@@ -91,7 +92,7 @@ RAW_ROWS = """raw AS (SELECT event_id, lpad(user_id::VARCHAR, 8, '0') AS sbd, lp
 
 def _raw(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    math, physics, chemistry = F.round(F.col("value") / 10, 2), F.round((F.col("event_id") % 101) / 10, 1), F.round((F.col("user_id") % 11) * 1.0, 1)
+    math, physics, chemistry = round_binary(F.col("value") / 10, 2), round_binary((F.col("event_id") % 101) / 10, 1), (F.col("user_id") % 11) * 1.0
     return e.select(
         "event_id",
         F.lpad(F.col("user_id").cast("string"), 8, "0").alias("sbd"),

@@ -4,7 +4,9 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
+from gradus.functions import exprs
 from gradus.plans import registry
 
 registry.load()
@@ -77,3 +79,20 @@ def test_weighted_mean_has_no_cap_of_event_types(spark, store):
     df.write.parquet(f"{at}/events.parquet")
     got = {r.subject: (r.n, r.weighted_mean) for r in registry.QUERIES["weighted_mean_long"](spark, at).collect()}
     assert got == {f"type{k:02}": (10, k + 315.0) for k in range(70)}
+
+
+def test_scores_that_end_in_a_half_are_rounded_as_in_sql(spark, store):
+    import duckdb
+
+    halves = [k / 100 for k in range(5, 12_000, 10)]
+    rows = [(303 * i + j, 11 * i + j, v) for i, v in enumerate([*halves, None, 64.85, 100.04, 100.05]) for j in range(3)]
+    rows.append((5, 8, 64.85))  # 15 is 0.01 over 6.49 + 0.5 + 8, but 0.02 over 6.48 + 0.5 + 8
+    at = store("events", rows, "event_id bigint, user_id bigint, value double")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{at}/events.parquet/*.parquet'")
+    want = dict(con.sql(registry.ORACLE["row_validator_codes"]).fetchall())
+    got = {r.event_id: r.codes for r in registry.QUERIES["row_validator_codes"](spark, at).collect()}
+    assert {k: (v, got.get(k)) for k, v in want.items() if v != got.get(k)} == {} and len(got) == len(want)
+    near = [(x,) for x in (6.484999999999999, 1.005, 2.675, -2.5, -6.484999999999999, 0.49999999999999994, 1e17, 0.0)]
+    rounded = {r.x: r.y for r in spark.createDataFrame(near, "x double").select("x", exprs.round_binary(F.col("x"), 2).alias("y")).collect()}
+    assert rounded == {x: con.sql(f"select round({x!r}::DOUBLE, 2)").fetchall()[0][0] for (x,) in near}
