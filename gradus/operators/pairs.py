@@ -1,8 +1,8 @@
-"""Pairs of similar names within groups, by prefix filters: only pairs that could pass are compared.
+"""Pairs of names within groups: all of them, or similar ones by prefix filters.
 
 Two sets with enough items in common share one of their rarest items: if a set must share m of
 its n items, one of its n - m + 1 rarest is among the rarest of the other, too. Names are listed
-under those alone, and met there.
+under those alone, and met there: only pairs that could pass are compared.
 """
 
 from __future__ import annotations
@@ -55,6 +55,20 @@ def by_words(df: DataFrame, least: float) -> DataFrame:
     return met.withColumn("jaccard", similarity.jaccard(words(F.col("a")), words(F.col("b")))).where(F.col("jaccard") >= least)
 
 
+def every(df: DataFrame, parts: int = 8) -> DataFrame:
+    """group, a, b of all pairs of a group's rows with a.name < b.name; a and b are the rows' other columns as structs.
+
+    A group's names are dealt over parts by a hash, and each pair of parts is a key of its own:
+    a group of any size is spread over parts * parts keys, and rows stream through each.
+    """
+    row = F.struct(*[c for c in df.columns if c != "group"])
+    named = df.where(F.col("group").isNotNull() & F.col("name").isNotNull())
+    own, each = F.pmod(F.hash("name"), F.lit(parts)), F.explode(F.array(*[F.lit(i) for i in range(parts)]))
+    a = named.select("group", own.alias("of_a"), each.alias("of_b"), row.alias("a"))
+    b = named.select("group", each.alias("of_a"), own.alias("of_b"), row.alias("b"))
+    return a.join(b, ["group", "of_a", "of_b"]).where("a.name < b.name").select("group", "a", "b")
+
+
 def _pieces(name: Column, size: int) -> Column:
     """Pieces of so many letters, each with how often it came before: repeats stay apart."""
     places = F.sequence(F.lit(1), F.length(name) - size + 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import similarity, text
 from ..operators import identity as operator
 from ..operators import pairs
 from ..operators.gates import distinct_join
@@ -77,7 +77,7 @@ def review_queue_union(spark, sf_dir):
     return one.unionByName(two).unionByName(row(poor, "negative_balance", "low", F.col("c_custkey").cast("string"), F.lit(1), F.col("c_mktsegment")))
 
 
-JACCARD, HIGH, MEDIUM = 0.5, 0.90, 0.78
+HIGH, MEDIUM = 0.90, 0.78
 
 
 def _named(spark, sf_dir):
@@ -94,14 +94,14 @@ def _with_both(pairs_, named):
     return pairs_.withColumns({"overlap": F.arrays_overlap("a_sizes", "b_sizes"), "shared_code": F.arrays_overlap("a_codes", "b_codes")})
 
 
-@query(f"""WITH n AS (SELECT p_brand, p_name || ' ' || lower(p_type) AS name, list(DISTINCT p_size) AS sizes FROM part GROUP BY ALL), w AS (SELECT *, string_split(name, ' ') AS words FROM n)
+@query("""WITH n AS (SELECT p_brand, p_name || ' ' || lower(p_type) AS name, list(DISTINCT p_size) AS sizes FROM part GROUP BY ALL), w AS (SELECT *, string_split(name, ' ') AS words FROM n)
   SELECT a.p_brand, a.name AS p_name, b.name AS q_name, len(list_intersect(a.words, b.words))::DOUBLE / len(list_distinct(list_concat(a.words, b.words))) AS jaccard, list_has_any(a.sizes, b.sizes) AS overlap
-  FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.name < b.name WHERE len(list_intersect(a.words, b.words))::DOUBLE / len(list_distinct(list_concat(a.words, b.words))) >= {JACCARD}""")
+  FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.name < b.name""")
 def identity_pairs_jaccard(spark, sf_dir):
-    """Names of a brand that have half of their words in common, and whether they have a size in common."""
-    named = _named(spark, sf_dir)
-    df = _with_both(pairs.by_words(named, JACCARD), named)
-    return df.select(F.col("group").alias("p_brand"), F.col("a").alias("p_name"), F.col("b").alias("q_name"), "jaccard", "overlap")
+    """All pairs of a brand's names: the share of words that they have in common, and whether they have a size in common."""
+    named = _named(spark, sf_dir).select("group", "name", "sizes", pairs.words(F.col("name")).alias("words"))
+    measure, overlap = similarity.jaccard(F.col("a.words"), F.col("b.words")), F.arrays_overlap("a.sizes", "b.sizes")
+    return pairs.every(named).select(F.col("group").alias("p_brand"), F.col("a.name").alias("p_name"), F.col("b.name").alias("q_name"), measure.alias("jaccard"), overlap.alias("overlap"))
 
 
 @query()

@@ -6,6 +6,9 @@ from difflib import SequenceMatcher
 import pytest
 
 from gradus.operators import catalogue, numbering, pairs
+from gradus.plans import registry
+
+registry.load()
 
 
 def test_texts_that_hold_others(spark):
@@ -89,3 +92,16 @@ def test_similar_pairs(spark, least):
     assert {(r.group, r.a, r.b): r.jaccard for r in pairs.by_words(df, least).collect()} == alike
     got = pairs.by_either(df, least).collect()
     assert len(got) == len(want) > 0 and {(r.group, r.a, r.b): (r.ratio, r.similarity) for r in got} == want
+
+
+def test_all_pairs_of_a_brand_are_measured(spark, tmp_path):
+    names = ["red ring", "blue bolt", "red bolt", "old", "new plate", None]
+    rows = [(f"B{g}" if g else None, n, t, i % 3, 9.0) for g in range(3) for i, n in enumerate(names) for t in ("SMALL", "LARGE", "SMALL") if n]
+    spark.createDataFrame(rows, "p_brand string, p_name string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    got = [tuple(r) for r in registry.QUERIES["identity_pairs_jaccard"](spark, str(tmp_path)).collect()]
+    sizes: dict = {}
+    for g, n, t, size, _ in rows:
+        sizes.setdefault((g, f"{n} {t.lower()}"), set()).add(size)
+    share = lambda a, b: len({*a.split()} & {*b.split()}) / len({*a.split()} | {*b.split()})
+    want = [(g, a, b, share(a, b), bool(x & y)) for (g, a), x in sizes.items() for (h, b), y in sizes.items() if g is not None and g == h and a < b]
+    assert sorted(got) == sorted(want) and 0.0 in {r[3] for r in got} and len(got) == 2 * 45
