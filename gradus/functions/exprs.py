@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row; a plain column is computed anew wherever it stands."""
+    return F.element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     """x within bounds; null stays null (greatest and least would skip it)."""
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, urls
 from ..functions import text as fn
+from ..functions.exprs import let
 from .registry import query, table
 
 # Classes of rows that hold a benchmark and of those that don't.
@@ -64,25 +65,39 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(fn.ascii_only(text), "[^a-z0-9]+", " "))
 
 
-def _image_score(index: Column, marker: Column, source: Column, name: Column, code: Column) -> tuple[Column, Column]:
-    """(score, whether it may be the site's mark) of an image, from its place, words, file name and the school."""
+def _known(name: Column) -> Column:
+    """Words of a school's name that tell it from others."""
+    return F.array_distinct(F.filter(F.split(plain(name), " "), lambda w: (F.length(w) > 2) & ~w.isin(COMMON)))
+
+
+def _image_score(index: Column, marker: Column, source: Column, known: Column, code: Column) -> Column:
+    """Score of an image, from its place, words, file name and the school; null if it can't be the site's mark."""
+
+    def named(decoded: Column) -> Column:
+        file = F.regexp_extract(F.regexp_extract(decoded, urls.PARTS, 3), "([^/]*?)(?:\\.[^./]*)?$", 1)
+        return F.struct(plain(F.concat(marker, F.lit(" "), decoded)).alias("hay"), plain(file).alias("stem"))
+
+    def counted(x: Column) -> Column:
+        words = F.split(x["hay"], " ")
+        has = (code != "") & F.array_contains(words, F.lower(code))
+        return F.struct(x["hay"].alias("hay"), x["stem"].alias("stem"), F.size(F.array_intersect(known, words)).alias("shared"), has.alias("named"))
+
+    def scored(x: Column) -> Column:
+        hay, stem, shared = x["hay"], x["stem"], x["shared"]
+        logo, header = hay.contains("logo"), hay.contains("header") | hay.contains("trang chu")
+        file_logo = stem.rlike(LOGO_NAME) | (stem.startswith("logo ") & (F.length(stem) <= 24))
+        parts = [
+            (logo | hay.contains("brand"), 100), (logo, 800), (header, 70), (file_logo, 140), (hay.contains("footer logo"), 100),
+            ((shared >= F.least(F.lit(2), F.size(known))) & (shared > 0), 100), (x["named"], 60), (fn.contains_any(hay, PARTNERS), -1200),
+        ]
+        score = F.greatest(F.lit(0), 50 - index) + 35 * shared
+        for hit, points in parts:
+            score = score + F.when(hit, points).otherwise(0)
+        mark = logo | hay.contains("brand") | header | file_logo | x["named"]
+        return F.when(mark, let(score, lambda s: F.when(s > 20, s)))
+
     decoded = urls.unquote(urls.unquote(F.replace(source, F.lit("\\"), F.lit("/"))))
-    hay = plain(F.concat(marker, F.lit(" "), decoded))
-    file = F.regexp_extract(F.regexp_extract(decoded, urls.PARTS, 3), "([^/]*?)(?:\\.[^./]*)?$", 1)
-    stem = plain(file)
-    known = F.array_distinct(F.filter(F.split(plain(name), " "), lambda w: (F.length(w) > 2) & ~w.isin(COMMON)))
-    shared = F.size(F.array_intersect(known, F.split(hay, " ")))
-    named = (code != "") & F.array_contains(F.split(hay, " "), F.lower(code))
-    logo, header = hay.contains("logo"), hay.contains("header") | hay.contains("trang chu")
-    file_logo = stem.rlike(LOGO_NAME) | (stem.startswith("logo ") & (F.length(stem) <= 24))
-    parts = [
-        (logo | hay.contains("brand"), 100), (logo, 800), (header, 70), (file_logo, 140), (hay.contains("footer logo"), 100),
-        ((shared >= F.least(F.lit(2), F.size(known))) & (shared > 0), 100), (named, 60), (fn.contains_any(hay, PARTNERS), -1200),
-    ]
-    score = F.greatest(F.lit(0), 50 - index) + 35 * shared
-    for hit, points in parts:
-        score = score + F.when(hit, points).otherwise(0)
-    return score, logo | hay.contains("brand") | header | file_logo | named
+    return let(let(let(decoded, named), counted), scored)
 
 
 def ranked_assets(pages: DataFrame) -> DataFrame:
@@ -93,18 +108,18 @@ def ranked_assets(pages: DataFrame) -> DataFrame:
     with its best score and where it first stood. On https pages, http addresses become https.
     """
     page = F.col("page")
-    known = pages.select("key", "url", "name", "code", markup.page("html").alias("page"))
+    known = pages.select("key", "url", F.coalesce("code", F.lit("")).alias("code"), _known(F.coalesce("name", F.lit(""))).alias("known"), markup.page("html").alias("page"))
     image = lambda x, i: F.struct(F.lit(0).alias("part"), i.alias("i"), x["source"].alias("source"), x["marker"].alias("marker"))
     icon = lambda x, i: F.struct(F.lit(1).alias("part"), i.alias("i"), x["href"].alias("source"), x["rel"].alias("marker"))
     meta = lambda x, i: F.struct(F.lit(2).alias("part"), i.alias("i"), x["content"].alias("source"), x["key"].alias("marker"))
     own = F.array(F.struct(F.lit(3).alias("part"), F.lit(0).alias("i"), F.lit("/favicon.ico").alias("source"), F.lit("").alias("marker")))
-    each = known.select("key", "url", "name", "code", F.explode(F.concat(F.transform(page["images"], image), F.transform(page["links"], icon), F.transform(page["meta"], meta), own)).alias("x")).select("key", "url", "name", "code", "x.*")
-    score, mark = _image_score(F.col("i"), F.col("marker"), F.col("source"), F.coalesce("name", F.lit("")), F.coalesce("code", F.lit("")))
+    each = known.select("key", "url", "code", "known", F.explode(F.concat(F.transform(page["images"], image), F.transform(page["links"], icon), F.transform(page["meta"], meta), own)).alias("x")).select("key", "url", "code", "known", "x.*")
+    score = _image_score(F.col("i"), F.col("marker"), F.col("source"), F.col("known"), F.col("code"))
     part = F.col("part")
     shared = F.when(plain(urls.unquote(urls.unquote(F.regexp_extract("source", urls.PARTS, 3)))).contains("logo"), 810).otherwise(10)
-    each = each.withColumn("score", F.when(part == 0, F.when(mark & (score > 20), score)).when(part == 1, F.when(F.col("marker").contains("icon"), 20)).when(part == 2, F.when(F.col("marker").isin("og:image", "twitter:image"), shared)).otherwise(0))
+    each = each.withColumn("score", F.when(part == 0, score).when(part == 1, F.when(F.col("marker").contains("icon"), 20)).when(part == 2, F.when(F.col("marker").isin("og:image", "twitter:image"), shared)).otherwise(0))
     absolute = urls.resolve(F.col("url"), F.when(part == 0, F.replace("source", F.lit("\\"), F.lit("/"))).otherwise(F.col("source")))
-    absolute = F.when(F.col("url").startswith("https:") & absolute.startswith("http://"), F.concat(F.lit("https"), F.substring(absolute, F.lit(5), F.length(absolute)))).otherwise(absolute)
+    absolute = let(absolute, lambda a: F.when(F.col("url").startswith("https:") & a.startswith("http://"), F.concat(F.lit("https"), F.substring(a, F.lit(5), F.length(a)))).otherwise(a))
     found = each.where("score is not null").withColumn("address", absolute).where(F.lower("address").rlike("^https?:"))
     best = found.groupBy("key", "address").agg(F.max("score").cast("bigint").alias("score"), F.min(F.struct("part", "i")).alias("first"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "first"))

@@ -60,3 +60,9 @@ def test_marks_of_a_page(spark):
         ("https://y.edu.vn/o.jpg", 10, 4),
         ("https://y.edu.vn/favicon.ico", 0, 5),
     ]
+
+
+def test_costly_steps_stand_once_in_a_mark(spark):
+    page = spark.createDataFrame([(1, "http://a/b", "<img alt=logo src=x.png>", "n", "c")], "key int, url string, html string, name string, code string")
+    plan = web.ranked_assets(page)._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count("url_decode(") <= 4 and 0 < plan.count("translate(") <= 4
